@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lonja.llm.canonical import map_to_reference
+from lonja.llm.leakage import leaked_items
+from lonja.llm.mixture import count_tokens, mix_sources
 from lonja.llm.mojibake import CorpusModel, corpus_model, restore_texts
-from lonja.session import table
+from lonja.llm.stuffing import stuffed_documents
+from lonja.session import reliable_checkpoint, table
 
 TYPED = ["region", "canal"]
 
@@ -49,5 +52,42 @@ def p3_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mapped(spark, sf_dir).filter("ref_id = 0").groupBy("campo", "valor").agg(F.count("*").alias("filas"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_misses)}
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "evaluacion_items"), "item_id", "text")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which items leaked, into how many documents, and the longest stretch."""
+    return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documentos"), F.max("palabras").alias("palabras"))
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    # All documents are patents: one domain; then language (as natural in each source) and source.
+    lang = F.lower(F.substring(F.trim("lang"), 1, 2))
+    docs = table(spark, sf_dir, "documents").filter("source is not null").select(
+        "doc_id", "text", F.lit("patentes").alias("dominio"), F.when(lang.isin("en", "es", "de"), lang).otherwise("otra").alias("idioma"), "source",
+    )
+    sized = count_tokens(docs, "text", "tokens").drop("text")
+    goal = table(spark, sf_dir, "mezcla_objetivo").select("source", F.col("peso_objetivo").alias("peso"), "max_repeticiones")
+    # Counted once: the sizes are needed for the budget and for the selection.
+    return mix_sources(reliable_checkpoint(sized), "doc_id", "tokens", ["dominio", "idioma", "source"], goal, seed=20260101)
+
+
+def p8_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir)[0].select("doc_id", "source", "tokens", "copias")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir)[1]
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffed_documents(table(spark, sf_dir, "documents"), "doc_id", "text", "lang").select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_misses, p7_found, p7_items, p8_selection, p8_shares, p9_found)}
 ORACLE_SQL: dict[str, str] = {}
