@@ -32,7 +32,7 @@ def to_silver(bronze: DataFrame) -> DataFrame:
 def sales_kpis(df: DataFrame, keys: list[str], amount: str, key: str, returned, rating=None) -> DataFrame:
     """Sums, order counts, average tickets and return rates by any keys."""
     money = F.sum(F.col(amount).cast("decimal(18,2)")).cast("double")
-    out = [F.round(money, 2).alias("ventas_totales"), F.count(key).alias("num_pedidos"), F.round(money / F.count(amount), 2).alias("ticket_promedio"), F.round(F.avg(F.when(returned, 1.0).otherwise(0.0)), 4).alias("tasa_devolucion")]
+    out = [F.round(money, 2).alias("ventas_totales"), F.count(key).alias("num_pedidos"), F.round(money / F.count(amount), 6).alias("ticket_promedio"), F.round(F.avg(F.when(returned, 1.0).otherwise(0.0)), 4).alias("tasa_devolucion")]
     if rating is not None:
         out.append(F.round(F.avg(rating), 2).alias("calificacion_promedio"))
     return df.groupBy(*keys).agg(*out)

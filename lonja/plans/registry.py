@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lonja.plans import data_problems
+from lonja.plans import data_problems, sales_queries
 
-MODULES = [data_problems]
+MODULES = [sales_queries, data_problems]
 
 
 def queries() -> dict:
