@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lonja.plans import data_problems, sales_queries
+from lonja.plans import data_problems, lake_queries, sales_queries
 
-MODULES = [sales_queries, data_problems]
+MODULES = [sales_queries, lake_queries, data_problems]
 
 
 def queries() -> dict:

@@ -541,7 +541,7 @@ def silver_rows(spark, d):
 
 
 # -- models -------------------------------------------------------------------------------------------------------------
-@query("SELECT p.pedido_id AS pedido_id, c.nombre AS cliente, u.pos AS pos, u.i.producto_id AS producto_id, pr.nombre AS nombre, u.i.precio_unit AS precio_unit FROM (SELECT DISTINCT * FROM pedidos WHERE pedido_id IS NOT NULL QUALIFY count(*) OVER (PARTITION BY pedido_id) = 1) p LEFT JOIN clientes c ON p.cliente_id = c.cliente_id, LATERAL (SELECT unnest(p.items) AS i, unnest(range(1, len(p.items) + 1)) AS pos) u LEFT JOIN productos pr ON u.i.producto_id = pr.producto_id")
+@query("SELECT p.pedido_id AS pedido_id, c.nombre AS cliente, u.pos AS pos, u.i.producto_id AS producto_id, pr.nombre AS nombre, u.i.precio_unit AS precio_unit FROM (SELECT * FROM (SELECT DISTINCT * FROM pedidos WHERE pedido_id IS NOT NULL) QUALIFY count(*) OVER (PARTITION BY pedido_id) = 1) p LEFT JOIN clientes c ON p.cliente_id = c.cliente_id, LATERAL (SELECT unnest(p.items) AS i, unnest(range(1, len(p.items) + 1)) AS pos) u LEFT JOIN productos pr ON u.i.producto_id = pr.producto_id")
 def q1_full_order(spark, d):
     p = table(spark, d, "pedidos").filter("pedido_id is not null").distinct()
     single = p.groupBy("pedido_id").count().filter("count = 1").select("pedido_id")

@@ -12,7 +12,7 @@ import time
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -180,6 +180,10 @@ class VersionedTable:
         raise CommitConflict(self.path)
 
 
+def _below(x: Column):
+    return lambda e: e < x
+
+
 def z_ordered(df: DataFrame, columns: list[str], n_files: int, bits: int = 8) -> DataFrame:
     """Rows range-partitioned and sorted by the interleaved bits of each column's quantile rank.
 
@@ -202,7 +206,7 @@ def z_ordered(df: DataFrame, columns: list[str], n_files: int, bits: int = 8) ->
     z = F.lit(0).cast("long")
     for k, c in enumerate(columns):
         edges = sorted(set(cuts[c] or []))
-        rank = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e, c=c: e < ranked[c])) if edges else F.lit(0)
+        rank = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), _below(ranked[c]))) if edges else F.lit(0)
         rank = F.when(ranked[c].isNull(), 0).otherwise(rank)
         for bit in range(bits):
             z = z.bitwiseOR(F.shiftleft(F.shiftright(rank, bit).bitwiseAND(F.lit(1)).cast("long"), bit * len(columns) + k))
