@@ -40,8 +40,8 @@ def counter_states(events: DataFrame, period: str, group: str, source: str, sequ
 
 def merge_states(states: DataFrame, period: str, group: str, source: str) -> DataFrame:
     """The join of any states, repeated or in any order: greatest version of each source, then the sum of the sources."""
-    best = states.groupBy(period, group, source).agg(F.max(F.struct("version", "records", "total")).alias("s"))
-    return best.groupBy(period, group).agg(F.sum("s.total").alias("total"), F.sum("s.records").alias("records"))
+    best = states.groupBy(period, group, source).agg(F.max(F.struct("version", "records", "total")).alias("__best"))
+    return best.groupBy(period, group).agg(F.sum("__best.total").alias("total"), F.sum("__best.records").alias("records"))
 
 
 def late_corrected_sums(df: DataFrame, event_col: str, arrival_col: str, group_col: str, amount_col: str, source_col: str, sequence_col: str, period_s: int = 3600, grace_s: int = 600, cutoff_s: int = 86_400) -> DataFrame:
