@@ -131,7 +131,8 @@ class Dictionary:
         """(distance, minus frequency, entry) of the best entry within the limit of its name."""
         if q in self.exact:
             return (0.0, 0, self.exact[q])
-        if sum(c != WILD for c in q) < 2:
+        # No name is near a text that is longer than all of them by more than the edits allowed.
+        if sum(c != WILD for c in q) < 2 or len(q) > max(self.by_length, default=0) + 6:
             return None
         ranked: dict[tuple[str, int], tuple[float, int, int]] = {}
         best = 9.0

@@ -54,11 +54,13 @@ def _decode(b: bytes, how: str) -> str | None:
 
 @lru_cache(maxsize=4096)
 def _class(ch: str) -> str:
-    """s space, d digit, p mark, l or u letter of ASCII, a or A letter of Spanish, o or O other Latin letter, c combining, x anything else."""
+    """s space, d digit, p mark, l or u letter of ASCII, a or A letter of Spanish, o or O other Latin letter, c combining, q opening ¿ or ¡, x anything else."""
     if ch in " \t ":
         return "s"
     if ch.isascii():
         return "d" if ch.isdigit() else "l" if "a" <= ch <= "z" else "u" if "A" <= ch <= "Z" else "p" if ch.isprintable() else "x"
+    if ch in "¿¡":
+        return "q"
     if ch in "áéíóúüñ":
         return "a"
     if ch in "ÁÉÍÓÚÜÑ":
@@ -74,8 +76,10 @@ def _class(ch: str) -> str:
 def _fallback(a: str, b: str) -> float:
     """The score of a pair that clean text never shows."""
     x, y = _class(a), _class(b)
-    if "x" in (x, y):
+    if "x" in (x, y) or (y == "q" and x in "luaAoO"):
         return -8.0
+    if "q" in (x, y):
+        return 0.5
     if x == "c" or y == "c":
         return 0.0 if x in "luc" else -6.0
     if x in "sdp" or y in "sdp":
@@ -165,9 +169,10 @@ class Restorer:
         p = self.pairs(s)
         if not p:
             return -8.0 if _class(s[:1]) == "x" else 0.0
-        # Of two readings the one with known words, then the one with fewer unusual characters wins.
+        # A capital inside a word of small letters, or the reverse, is odd. Of two readings the one with known words, then the one with fewer unusual characters wins.
         known = sum(w.lower() in self.words for w in re.findall(r"\w+", s) if not w.isascii())
-        return sum(x for x in p if x <= 0) + 0.5 * known - 0.05 * sum(not c.isascii() for c in s)
+        odd = sum(1 for a, c, b in zip(s, s[1:], s[2:]) if not c.isascii() and a.isalpha() and (c.isupper() and b.islower() or c.islower() and a.isupper() and b.isupper()))
+        return sum(x for x in p if x <= 0) + 0.5 * known - 3.0 * odd - 0.05 * sum(not c.isascii() for c in s)
 
     def restore(self, s: str) -> str | None:
         """The text before the damage, '' if characters are lost for good, None if it isn't damaged."""
