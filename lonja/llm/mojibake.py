@@ -207,6 +207,9 @@ class Restorer:
                         got = tuple(_decode(c, written) for c in coded)
                         if None in got or got in seen or any("\x00" <= ch < " " and ch not in "\t\n\r" for t in got for ch in t):
                             continue
+                        # Without UTF-8's own structure as proof, only letters are believed.
+                        if written != "utf-8" and any(not (ch.isascii() or ch.isalpha() or ch == "\xa0") for t in got for ch in t):
+                            continue
                         seen.add(got)
                         text, at = [], 0
                         for (a, b), t in zip(spans, got):
