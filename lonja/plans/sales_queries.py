@@ -192,9 +192,9 @@ def prj1_select_cast(spark, d):
     return table(spark, d, ORD).select(F.col("o_orderkey").alias("pedido_id"), F.to_date("o_orderdate").alias("fecha"), F.col("o_custkey").cast("string").alias("cliente"), F.round("o_totalprice", 1).alias("total"))
 
 
-@query("SELECT l_orderkey, l_quantity, round(l_extendedprice * (1 - l_discount), 2) AS neto FROM lineitem")
+@query("SELECT l_orderkey, l_quantity, round(l_extendedprice * (1 - l_discount), 4) AS neto FROM lineitem")
 def prj2_with_and_drop(spark, d):
-    return table(spark, d, ITEM).withColumn("neto", F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2)).drop("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+    return table(spark, d, ITEM).withColumn("neto", F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 4)).drop("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 
 
 @query("SELECT pedido_id, i.producto_id AS producto_id, i.cantidad AS cantidad, i.precio_unit AS precio_unit FROM " + _ITEMS)
