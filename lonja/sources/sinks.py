@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -32,13 +32,19 @@ def broker_partition(key: Column, partitions: int) -> Column:
     return F.coalesce(F.pmod(F.hash(key), F.lit(partitions)), F.lit(0))
 
 
-def as_messages(df: DataFrame, key: str, topic: str, partitions: int, order: str) -> DataFrame:
-    """Rows as messages: JSON payload, partition by key, offsets from 0 in each partition.
+def as_messages(df: DataFrame, key: str, topic: str, partitions: int, order: str, ranges: int = 64) -> DataFrame:
+    """Rows as messages: JSON payload, partition by key, offsets from 0 in each partition in the order of a numeric column.
 
-    Offsets need the rows of a partition in order; a log of any size is numbered by ranges of the order column.
+    A partition of any size is numbered by ranges of the order column: the rows of the ranges before a range are its
+    first offset, so no task sorts more than one range. Ties get offsets in no particular order; a null order comes first.
     """
-    from pyspark.sql import Window
-
-    made = df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*df.columns)).cast("binary").alias("value"), F.lit(topic).alias("topic"), broker_partition(F.col(key), partitions).alias("partition"), F.col(order).alias("__order"))
-    w = Window.partitionBy("partition").orderBy("__order")
-    return made.withColumn("offset", (F.row_number().over(w) - 1).cast("long")).drop("__order")
+    made = df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*df.columns)).cast("binary").alias("value"), F.lit(topic).alias("topic"), broker_partition(F.col(key), partitions).alias("partition"), F.col(order).cast("double").alias("__order"))
+    cuts = made.agg(F.percentile_approx("__order", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
+    made = made.withColumn("__range", F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<double>"), lambda c: c < F.col("__order"))))
+    made = made.withColumn("__range", F.when(F.col("__order").isNull(), -1).otherwise(F.col("__range")))
+    before = Window.partitionBy("partition").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    first = made.groupBy("partition", "__range").agg(F.count("*").alias("__n")).withColumn("__first", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    # partitions x ranges rows
+    placed = made.join(F.broadcast(first), ["partition", "__range"])
+    inside = Window.partitionBy("partition", "__range").orderBy("__order")
+    return placed.select("key", "value", "topic", "partition", (F.row_number().over(inside) - 1 + F.col("__first")).cast("long").alias("offset"))

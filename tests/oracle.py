@@ -30,7 +30,7 @@ def _plain(v):
     if isinstance(v, decimal.Decimal):
         v = float(v)
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else f"{v:d}" if False else f"{v:.9g}"
+        return "nan" if math.isnan(v) else f"{v:.9g}"
     if isinstance(v, datetime.datetime):
         return v.replace(tzinfo=None).isoformat()
     if isinstance(v, datetime.date):

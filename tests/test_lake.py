@@ -110,3 +110,18 @@ def test_runner():
     with pytest.raises(ZeroDivisionError):
         runner.run_chain([runner.Task("a", lambda c: 1 / 0)], "2025-01-01", wait_s=0)
     assert [r.day for r in runner.backfill([runner.Task("a", lambda c: 1)], "2025-01-30", "2025-02-01")] == ["2025-01-30", "2025-01-31", "2025-02-01"]
+
+
+def test_messages_are_numbered_without_gaps(spark):
+    from lonja.sources.sinks import as_messages
+
+    df = spark.createDataFrame([(i, "a" if i % 3 else f"k{i % 7}") for i in range(500)], "id long, region string").withColumn("id", F.when(F.col("id") != 4, F.col("id")))
+    got = as_messages(df, "region", "t", 4, "id", ranges=8).withColumn("id", F.get_json_object(F.col("value").cast("string"), "$.id").cast("long"))
+    by = {}
+    for r in got.collect():
+        by.setdefault(r["partition"], []).append((r["offset"], -1 if r["id"] is None else r["id"]))
+    assert sum(map(len, by.values())) == 500
+    for rows_ in by.values():
+        rows_.sort()
+        assert [o for o, _ in rows_] == list(range(len(rows_))) and [i for _, i in rows_] == sorted(i for _, i in rows_)
+    assert as_messages(df.limit(0), "region", "t", 4, "id").count() == 0
