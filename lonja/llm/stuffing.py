@@ -1,8 +1,8 @@
 """Keyword stuffing, link lists, tags and catalogue lines instead of sentences (problem 9).
 
 Texts are cut into blocks. A block's compression ratio is set against the mean and spread of all blocks of its language
-and length; extreme redundancy is confirmed by a low density of sentences. Lists of varied links compress no better than
-formulaic prose, so a block in which hardly anything is a sentence counts whatever its ratio.
+and length; extreme redundancy is confirmed by a low density of sentences or of end marks. Lists of varied links compress
+no better than formulaic prose, so a block in which hardly anything is a sentence counts whatever its ratio.
 """
 
 from __future__ import annotations
@@ -16,6 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_CHARS = 600
+#: A clause without an end is cut into pieces of this size, so no block is longer than BLOCK_CHARS + PIECE_CHARS.
+PIECE_CHARS = 200
+#: Characters for each end mark above which redundancy is confirmed, whatever the words.
+CHARS_PER_MARK = 400
 #: Standard deviations below the mean ratio of the language and length.
 REDUNDANT = -3.0
 #: Share of a block's characters in sentences below which redundancy is confirmed, and below which it isn't needed.
@@ -33,6 +37,7 @@ FUNCTION_WORDS = {
 }
 _CUT = re.compile(r"(?<=[.!?;:…])\s+|\n+")
 _WORD = re.compile(r"[^\W\d_]+")
+_MARKS = frozenset(".!?;:…")
 _LANGS = {"en", "es", "de"}
 
 
@@ -50,32 +55,54 @@ def _clauses(text: str) -> Iterator[tuple[int, int]]:
         yield at, len(text)
 
 
-def blocks(text: str, lang: str | None, function_words: frozenset[str]) -> list[tuple[int, int, float]]:
-    """(characters, characters in sentences, compression ratio) of each block, cut between clauses where that is possible."""
-    # The list is no use to a language of its own.
-    by_words = language_key(lang) in _LANGS or language_key(lang) in ("", "un", "xx")
-    out, begin, inside = [], 0, 0
+def _pieces(text: str) -> Iterator[tuple[int, int, int, int, bool]]:
+    """(begin and end of a piece, begin and end of its clause, whether a block ends with the piece)."""
+    begin = 0
+    for a, b in _clauses(text):
+        for p in range(a, b, PIECE_CHARS):
+            e = min(p + PIECE_CHARS, b)
+            full = e - begin >= BLOCK_CHARS or e == len(text)
+            yield p, e, a, b, full
+            if full:
+                begin = e
 
-    def close(end: int) -> None:
-        nonlocal begin, inside
-        raw = text[begin:end].encode("utf-8", "replace")
-        out.append((end - begin, min(inside, end - begin), len(zlib.compress(raw, 5)) / max(1, len(raw))))
-        begin, inside = end, 0
 
-    for a, b in _clauses(text):
-        w = _WORD.findall(text[a:b].lower())
-        n = len(w)
-        if n >= MIN_CLAUSE_WORDS and (sum(x in function_words for x in w) >= MIN_FUNCTION_SHARE * n if by_words else text[a:b].rstrip()[-1:] in ".!?;:…"):
-            inside += b - a
-        if b - begin >= BLOCK_CHARS:
-            close(b)
-    if begin < len(text):
-        close(len(text))
+def _ratio(text: str) -> float:
+    raw = text.encode("utf-8", "replace")
+    return len(zlib.compress(raw, 5)) / max(1, len(raw))
+
+
+def block_ratios(text: str) -> Iterator[tuple[int, float]]:
+    """(characters, compression ratio) of the blocks of :func:`blocks`."""
+    begin = 0
+    for _, e, _, _, full in _pieces(text):
+        if full:
+            yield e - begin, _ratio(text[begin:e])
+            begin = e
+
+
+def blocks(text: str, lang: str | None, function_words: frozenset[str]) -> list[tuple[int, int, int, float]]:
+    """(characters, characters in sentences, end marks, compression ratio) of each block, cut between clauses where that is possible."""
+    # The list is no use to a language of its own.
+    by_words = language_key(lang) in _LANGS or language_key(lang) in ("", "un", "xx")
+    out, begin, inside, marks = [], 0, 0, 0
+    sentence = marked = False
+    for p, e, a, b, full in _pieces(text):
+        if p == a:
+            w = _WORD.findall(text[a:b].lower())
+            n = len(w)
+            marked = text[a:b].rstrip()[-1:] in _MARKS
+            sentence = n >= MIN_CLAUSE_WORDS and (sum(x in function_words for x in w) >= MIN_FUNCTION_SHARE * n if by_words else marked)
+        inside += (e - p) * sentence
+        marks += e == b and marked
+        if full:
+            out.append((e - begin, inside, marks, _ratio(text[begin:e])))
+            begin, inside, marks = e, 0, 0
     return out
 
 
 def _bucket(n: int) -> int:
-    return min(n // 100, 20)
+    return n // 100
 
 
 def stuffed_documents(df: DataFrame, id_col: str, text_col: str, lang_col: str, share: float = SHARE) -> DataFrame:
@@ -92,19 +119,16 @@ def stuffed_documents(df: DataFrame, id_col: str, text_col: str, lang_col: str,
         sums: dict[tuple[str, int], list[float]] = {}
         for pdf in frames:
             for text, lang in zip(pdf["text"], pdf["lang"]):
-                # Blocks by length alone: the expectation needs no clauses.
                 key = language_key(lang)
-                for k in range(0, len(text), BLOCK_CHARS):
-                    raw = text[k : k + BLOCK_CHARS].encode("utf-8", "replace")
-                    r = len(zlib.compress(raw, 5)) / len(raw)
-                    s = sums.setdefault((key, _bucket(len(text[k : k + BLOCK_CHARS]))), [0, 0.0, 0.0])
+                for n, r in block_ratios(text):
+                    s = sums.setdefault((key, _bucket(n)), [0, 0.0, 0.0])
                     s[0] += 1
                     s[1] += r
                     s[2] += r * r
         yield pd.DataFrame([(k, b, int(n), s, q) for (k, b), (n, s, q) in sums.items()], columns=["lang", "bucket", "n", "s", "q"]).astype({"lang": str, "bucket": "int32", "n": "int64", "s": float, "q": float})
 
     partial = docs.select("text", "lang").mapInPandas(measure, "lang string, bucket int, n long, s double, q double")
-    # Two letters and 21 lengths bound the groups.
+    # Two letters and the lengths of a block bound the groups.
     stats = {(r["lang"], r["bucket"]): (r["n"], r["s"] / r["n"], max(0.0, r["q"] / r["n"] - (r["s"] / r["n"]) ** 2) ** 0.5) for r in partial.groupBy("lang", "bucket").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).collect()}
 
     def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,12 +136,14 @@ def stuffed_documents(df: DataFrame, id_col: str, text_col: str, lang_col: str,
             ids, parts = [], []
             for i, text, lang in zip(pdf["id"], pdf["text"], pdf["lang"]):
                 key, matter, total = language_key(lang), 0, 0
-                for n, inside, ratio in blocks(text, lang, known):
+                for n, inside, marks, ratio in blocks(text, lang, known):
                     count, mean, sd = stats.get((key, _bucket(n)), (0, 0.0, 0.0))
                     z = (ratio - mean) / sd if count > 30 and sd > 0 else 0.0
                     total += n
                     if z <= REDUNDANT and inside < CONFIRM * n or inside < NO_SENTENCES * n:
                         matter += n - inside
+                    elif z <= REDUNDANT and marks * CHARS_PER_MARK < n:
+                        matter += n
                 if matter > share * total:
                     ids.append(i)
                     parts.append(matter / total)

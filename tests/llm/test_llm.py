@@ -9,7 +9,7 @@ from lonja.llm.canonical import Dictionary, deletes, fold, map_to_reference, wei
 from lonja.llm.leakage import ItemIndex, leaked_items  # noqa: E402
 from lonja.llm.mixture import TOKENIZER, allot, count_tokens, mix_sources  # noqa: E402
 from lonja.llm.mojibake import Restorer, corpus_model, restore_texts  # noqa: E402
-from lonja.llm.stuffing import stuffed_documents  # noqa: E402
+from lonja.llm.stuffing import block_ratios, blocks, stuffed_documents  # noqa: E402
 from lonja.llm.words import words  # noqa: E402
 
 NAMES = ["Bogotá", "Medellín", "Itagüí", "Ibagué", "Quibdó", "Cúcuta", "Aplicación móvil", "Catálogo impreso", "Nariño", "San Andrés", "Cali"]
@@ -186,3 +186,16 @@ def test_stuffing(spark):
     df = spark.createDataFrame(docs, "id long, text string, lang string").withColumn("parte", F.lit("clash"))
     assert {r["id"] for r in stuffed_documents(df, "id", "text", "lang").collect()} == {100, 101, 102, 103, 104}
     assert stuffed_documents(df.limit(0), "id", "text", "lang").count() == 0
+
+
+def test_stuffing_without_end_marks(spark):
+    rng = random.Random(4)
+    nouns = "válvula sensor tubo bisagra tapa placa lente tornillo bomba rotor muelle cable".split()
+    prose = lambda n: " ".join(f"La {rng.choice(nouns)} {rng.randint(1, 99)} se fija en el {rng.choice(nouns)} de la {rng.choice(nouns)}, según la figura {rng.randint(1, 30)}." for _ in range(n))
+    run = "comprar bomba de agua barata bomba de riego barata bomba de pozo barata " * 80
+    docs = [(k, prose(60), "es") for k in range(90)] + [(100, run, "es"), (101, run, None), (102, prose(10) + "\n" + run, "es"), (103, prose(80) + "\n" + run[:1400], "es"), (104, prose(300).replace(".", ","), "es")]
+    df = spark.createDataFrame(docs, "id long, text string, lang string")
+    assert {r["id"] for r in stuffed_documents(df, "id", "text", "lang").collect()} == {100, 102}
+    for text in (run, prose(50), "x", "a. b", prose(3) + "\n" + "z" * 5000):
+        got = blocks(text, "es", frozenset())
+        assert [(n, r) for n, _, _, r in got] == list(block_ratios(text)) and sum(n for n, *_ in got) == len(text) and max(n for n, *_ in got) <= 800
