@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lonja.session import reliable_checkpoint
+
 #: Ranges of each column's axis.
 RANGES = 256
 #: A value that fills this share of any one load is a category of its own; other values are known by their form.
@@ -145,15 +147,27 @@ def rarity_counts(df: DataFrame, load_col: str, columns: list[str], heavy_share:
 def departing_loads(df: DataFrame, load_col: str, columns: list[str], departure: float = DEPARTURE, rare: float = RARE_SHARE) -> DataFrame:
     """Loads and columns in which at least ``departure`` of the rows hold nulls, values or forms that are rare elsewhere.
 
-    Rows are laid on the axis of rarity (:func:`rarity_counts`); the excess of a load's cumulative curve over that of all
-    other loads, at a rarity of at most ``rare``, is the share of its rows that departs from habit. The excess must be
-    that large and lie more than four standard errors above what the other loads hold, which a few odd rows of a small
-    load don't. With a single load nothing departs. Returns ``load_col``, ``columna``, ``exceso`` (the share).
+    Rows are laid on the axis of rarity (:func:`rarity_counts`). At a rarity of at most ``rare`` a load's own cumulative
+    share must be ``departure`` at least, and lie above the median of the other loads' shares there by four standard
+    errors of what they hold, which a few odd rows of a small load don't, and by ``departure`` or by as much again as
+    that median. The median doesn't follow other departing or large loads. With a single load nothing departs.
+    Returns ``load_col``, ``columna``, ``exceso`` (the share above the median).
     """
-    curves = cumulative_curves(rarity_counts(df, load_col, columns), "rareza")
+    # Loads x rarities rows, read several times below.
+    rows = reliable_checkpoint(rarity_counts(df, load_col, columns))
+    # Every load has a point at every rarity that counts: loads x rarities rows, so that the shares of all can be set side by side.
+    points = rows.filter(F.col("rareza") <= rare).select("columna", "rareza").distinct()
+    dense = rows.select("columna", "carga").distinct().join(points, "columna").select("columna", "carga", "rareza", F.lit(0).cast("long").alias("n"))
+    dense = rows.unionByName(dense).groupBy("columna", "carga", "rareza").agg(F.sum("n").alias("n"))
+    curves = cumulative_curves(dense, "rareza")
     rest = F.col("total_todas") - F.col("total")
-    p, q = F.col("acum") / F.col("total"), (F.col("acum_todas") - F.col("acum")) / rest
-    sure = p - q > 4 * F.sqrt(F.greatest(q * (1 - q), F.lit(0.01)) / F.col("total"))
-    low = curves.filter((F.col("rareza") <= rare) & (rest > 0)).withColumn("exceso", F.when(sure, p - q))
-    out = low.groupBy("carga", "columna").agg(F.max("exceso").alias("exceso")).filter(F.col("exceso") >= departure)
+    low = curves.filter((F.col("rareza") <= rare) & (rest > 0)).withColumns({"p": F.col("acum") / F.col("total"), "resto": (F.col("acum_todas") - F.col("acum")) / rest})
+    # As many entries as loads.
+    low = low.withColumn("partes", F.sort_array(F.collect_list("p").over(Window.partitionBy("columna", "rareza"))))
+    own, others = F.array_position("partes", F.col("p")), F.size("partes") - 1
+    other = lambda k: F.try_element_at("partes", (k + F.when(k >= own, 1).otherwise(0)).cast("int"))
+    low = low.withColumn("q", (other(F.floor((others + 1) / 2)) + other(F.floor(others / 2) + 1)) / 2)
+    p, q, resto = F.col("p"), F.col("q"), F.col("resto")
+    sure = p - q > 4 * F.sqrt(F.greatest(resto * (1 - resto), F.lit(0.01)) / F.col("total"))
+    out = low.filter((p >= departure) & sure & ((p - q >= departure) | (p > 2 * q))).groupBy("carga", "columna").agg(F.max(p - q).alias("exceso"))
     return out.select(F.col("carga").alias(load_col), "columna", "exceso")

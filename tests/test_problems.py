@@ -153,3 +153,13 @@ def test_departing_loads(spark):
     p = {(r["carga"], r["columna"]): r for r in profile_loads(df, "carga", {"total": "numeric", "correo": "email"}).collect()}
     assert p[3, "total"]["nulos"] == 48 and p[8, "total"]["nulos"] == 1 and p[5, "correo"]["violaciones"] == 0
     assert p[6, "total"]["ks"] > 0.4 and p[5, "correo"]["ks"] is None
+
+
+def test_departing_loads_do_not_hide_each_other(spark):
+    rng, rows = random.Random(6), []
+    for load in range(1, 13):
+        for k in range(3300 if load == 1 else 600):
+            odd = {1: 0.7, 2: 0.4, 3: 0.19}.get(load, 0.02)
+            rows.append((load, None if rng.random() < odd else f"{rng.randint(10_000, 99_999)}.0"))
+    df = spark.createDataFrame(rows, "carga long, total string")
+    assert {r["carga"] for r in departing_loads(df, "carga", ["total"]).collect()} == {1, 2, 3}
