@@ -111,6 +111,17 @@ def snk4_partition_overwrite(spark, d):
     return spark.read.parquet(path).groupBy("o_orderpriority").agg(F.count("*").alias("n"))
 
 
+@query("SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1")
+def snk4_all_months(spark, d):
+    """The partition overwrite over every month: one is written again, all the others stay."""
+    path = scratch_dir(spark, "days")
+    # Each month in one task, so its files stay few.
+    o = table(spark, d, "orders").withColumn("mes", F.date_format("o_orderdate", "yyyy-MM"))
+    sinks.overwrite_partitions(o.repartition("mes"), path, "mes")
+    sinks.overwrite_partitions(o.filter("mes = '1995-03'"), path, "mes")
+    return spark.read.parquet(path).groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+
+
 @query("SELECT r_regionkey, r_name FROM region")
 def snk5_single_file_export(spark, d):
     path = scratch_dir(spark, "export")

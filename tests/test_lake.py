@@ -125,3 +125,10 @@ def test_messages_are_numbered_without_gaps(spark):
         rows_.sort()
         assert [o for o, _ in rows_] == list(range(len(rows_))) and [i for _, i in rows_] == sorted(i for _, i in rows_)
     assert as_messages(df.limit(0), "region", "t", 4, "id").count() == 0
+
+
+def test_partition_overwrite_keeps_every_month(spark, small):
+    from lonja.plans import registry
+
+    got = registry.queries()["snk4_all_months"](spark, small).agg(F.sum("n")).first()[0]
+    assert got == spark.read.parquet(f"{small}/orders.parquet").count()
