@@ -272,6 +272,24 @@ def stm7_at_least_once_consumer(spark, d):
     return t.read().select("pedido_id", F.col("_kafka_offset").alias("vista"))
 
 
+@query("SELECT pedido_id, max(_kafka_offset) AS vista FROM pedidos_ventas WHERE pedido_id IS NOT NULL GROUP BY 1")
+def stm7_whole_topic(spark, d):
+    """The consumer over all partitions to their end, in four merges whatever the log's length; it fails after the first and starts again."""
+    t = VersionedTable(spark, scratch_dir(spark, "orders"))
+    log = _messages(spark, d)
+    batch = (log.agg(F.max("offset")).first()[0] or 0) // 4 + 1
+
+    def fault(commit: int) -> None:
+        raise RuntimeError("after the merge, before the commit")
+
+    try:
+        S.consume(spark, log, t, {}, batch, fault)
+    except RuntimeError:
+        pass
+    S.consume(spark, log, t, {}, batch)
+    return t.read().select("pedido_id", F.col("_kafka_offset").alias("vista"))
+
+
 @query("SELECT event_id % 7 AS producto, count(*) AS una_vez, count(*) + count(*) FILTER (n >= 500 AND n < 700) AS ingenuo FROM (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS n FROM events) GROUP BY 1")
 def stm9_replay_once_and_naive(spark, d):
     e = table(spark, d, "events")

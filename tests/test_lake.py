@@ -132,3 +132,11 @@ def test_partition_overwrite_keeps_every_month(spark, small):
 
     got = registry.queries()["snk4_all_months"](spark, small).agg(F.sum("n")).first()[0]
     assert got == spark.read.parquet(f"{small}/orders.parquet").count()
+
+
+def test_consumer_reads_the_whole_topic(spark, small):
+    from lonja.plans import registry
+
+    got = [r["pedido_id"] for r in registry.queries()["stm7_whole_topic"](spark, small).collect()]
+    log = spark.read.parquet(f"{small}/pedidos_ventas.parquet").filter("pedido_id is not null")
+    assert sorted(got) == sorted(r[0] for r in log.select("pedido_id").distinct().collect()) and log.select("_kafka_partition").distinct().count() == 4
