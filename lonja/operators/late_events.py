@@ -64,11 +64,11 @@ def late_corrected_sums(df: DataFrame, event_col: str, arrival_col: str, group_c
     # Phase 0: in time, 1: corrects, 2: after the cut-off. The phase leads the version: what arrives later is a later version.
     rows = rows.withColumn("phase", F.when(delay <= grace_s * 1_000_000, 0).when(delay <= cutoff_s * 1_000_000, 1).otherwise(2))
     keys = ("p", "grupo", "source")
-    seen = rows.groupBy("p", "grupo").agg(F.count_if(F.col("phase") == 1).alias("n_tarde"), F.count_if(F.col("phase") == 2).alias("n_fuera"))
+    seen = rows.groupBy("p", "grupo").agg(F.count_if(F.col("phase") == 2).alias("n_fuera"))
     states = counter_states(rows.filter("phase < 2").withColumn("ver", F.struct("phase", "seq")), "p", "grupo", "source", "ver", "amount")
     early = merge_states(states.filter("version.phase = 0"), *keys).select("p", "grupo", F.col("total").alias("suma_inicial"), F.col("records").alias("n_inicial"))
     final = merge_states(states, *keys).select("p", "grupo", F.col("total").alias("suma"), F.col("records").alias("n"))
     out = seen.join(final, ["p", "grupo"], "left").join(early, ["p", "grupo"], "left")
     start = F.date_format(F.timestamp_seconds(F.col("p") * period_s), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     zero = lambda c, z: F.coalesce(F.col(c), F.lit(z)).alias(c)
-    return out.select(start.alias("periodo"), "grupo", zero("suma_inicial", 0.0), zero("n_inicial", 0), zero("suma", 0.0), zero("n", 0), "n_tarde", "n_fuera")
+    return out.select(start.alias("periodo"), "grupo", zero("suma_inicial", 0.0), zero("n_inicial", 0), zero("suma", 0.0), zero("n", 0), (F.coalesce("n", F.lit(0)) - F.coalesce("n_inicial", F.lit(0))).alias("n_tarde"), "n_fuera")

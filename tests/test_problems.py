@@ -163,3 +163,10 @@ def test_departing_loads_do_not_hide_each_other(spark):
             rows.append((load, None if rng.random() < odd else f"{rng.randint(10_000, 99_999)}.0"))
     df = spark.createDataFrame(rows, "carga long, total string")
     assert {r["carga"] for r in departing_loads(df, "carga", ["total"]).collect()} == {1, 2, 3}
+
+
+def test_late_counts_come_from_the_merged_counters(spark):
+    df = spark.createDataFrame([], "e string, a timestamp, g string, x double, s int, q long")
+    late = late_corrected_sums(df, "e", "a", "g", "x", "s", "q").filter("n_tarde > 0").select("periodo", "grupo")
+    plan = late._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "max(struct(version" in plan
