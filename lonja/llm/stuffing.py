@@ -1,8 +1,9 @@
 """Keyword stuffing, link lists, tags and catalogue lines instead of sentences (problem 9).
 
-Texts are cut into blocks. A block's compression ratio is set against the mean and spread of all blocks of its language
-and length; extreme redundancy is confirmed by a low density of sentences or of end marks. Lists of varied links compress
-no better than formulaic prose, so a block in which hardly anything is a sentence counts whatever its ratio.
+Texts are cut into blocks of about equal length. A block is compressed twice: as it is, which shows repeated keywords, and
+as its skeleton (every run of letters one letter, every run of digits one digit), which shows lists whose lines differ in
+words only. Each ratio is set against the mean and spread of all blocks of its language and length. A block that is
+extremely redundant either way is flagged, and confirmed by a low density of the punctuation that ends sentences.
 """
 
 from __future__ import annotations
@@ -11,34 +12,30 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lonja.session import reliable_checkpoint
+
 BLOCK_CHARS = 600
-#: A clause without an end is cut into pieces of this size, so no block is longer than BLOCK_CHARS + PIECE_CHARS.
-PIECE_CHARS = 200
-#: Characters for each end mark above which redundancy is confirmed, whatever the words.
-CHARS_PER_MARK = 400
-#: Standard deviations below the mean ratio of the language and length.
-REDUNDANT = -3.0
-#: Share of a block's characters in sentences below which redundancy is confirmed, and below which it isn't needed.
-CONFIRM, NO_SENTENCES = 0.7, 0.5
+#: Standard deviations below the mean ratio of the language and length at which a block is extremely redundant.
+REDUNDANT = -1.75
+#: A redundant block is confirmed by fewer than one sentence end in this many characters.
+CHARS_PER_END = 300
+#: A mark ends a sentence if at least so many words stand before it, since the last such mark.
+SENTENCE_WORDS = 12
 #: Share of a text's characters that must be such matter.
 SHARE = 0.5
-#: A clause is a sentence with this many words and this share of function words.
-MIN_CLAUSE_WORDS, MIN_FUNCTION_SHARE = 4, 0.15
+#: Blocks from which an expectation is taken; below, those of the language at any length, then of all languages, count.
+ENOUGH = 30
 
-# The commonest function words of the corpus languages.
-FUNCTION_WORDS = {
-    "en": "the of a an to is are was be been it its and or in on by that which when where if at from for with as may so will would can has have not than this these those while until between one such wherein said".split(),
-    "es": "el la los las lo de del a al en un una que se con por para sin según es son fue ser está y e o u su sus no si más como cuando donde entre hasta mientras sobre esta este junto cual dicho dicha".split(),
-    "de": "der die das den dem des ein eine einen einem einer eines und oder in im an am auf aus bei mit nach von vom zu zum zur ist sind war wird werden wurde nicht dass wenn wie so auch als bis durch für um zwischen unter über ohne kann dabei wobei".split(),
-}
-_CUT = re.compile(r"(?<=[.!?;:…])\s+|\n+")
-_WORD = re.compile(r"[^\W\d_]+")
-_MARKS = frozenset(".!?;:…")
-_LANGS = {"en", "es", "de"}
+_END = re.compile(r"[.!?…。！？]+[\"'»”)\]]*(?=\s|$)")
+# Letters (and all bytes beyond ASCII) are one class, digits another; marks and white space stay.
+_CLASSES = bytes(0x61 if c >= 0x80 or chr(c).isalpha() else 0x39 if chr(c).isdigit() else c for c in range(256))
+_RUNS = (re.compile(rb"a+"), re.compile(rb"9+"))
+_MEASURES = "array<struct<chars:int,ends:int,ratio:float,skeleton:float>>"
 
 
 def language_key(lang: str | None) -> str:
@@ -46,58 +43,37 @@ def language_key(lang: str | None) -> str:
     return key if key.isalpha() else ""
 
 
-def _clauses(text: str) -> Iterator[tuple[int, int]]:
-    at = 0
-    for m in _CUT.finditer(text):
-        yield at, m.end()
-        at = m.end()
-    if at < len(text):
-        yield at, len(text)
+def _ratio(raw: bytes) -> float:
+    return len(zlib.compress(raw, 5)) / max(1, len(raw))
 
 
-def _pieces(text: str) -> Iterator[tuple[int, int, int, int, bool]]:
-    """(begin and end of a piece, begin and end of its clause, whether a block ends with the piece)."""
-    begin = 0
-    for a, b in _clauses(text):
-        for p in range(a, b, PIECE_CHARS):
-            e = min(p + PIECE_CHARS, b)
-            full = e - begin >= BLOCK_CHARS or e == len(text)
-            yield p, e, a, b, full
-            if full:
-                begin = e
+def skeleton(raw: bytes) -> bytes:
+    raw = raw.translate(_CLASSES)
+    for runs, one in zip(_RUNS, (b"a", b"9")):
+        raw = runs.sub(one, raw)
+    return raw
 
 
-def _ratio(text: str) -> float:
-    raw = text.encode("utf-8", "replace")
-    return len(zlib.compress(raw, 5)) / max(1, len(raw))
+def sentence_ends(text: str) -> list[int]:
+    """Places of the marks that end a sentence of at least SENTENCE_WORDS words."""
+    out, at = [], 0
+    for m in _END.finditer(text):
+        if len(text[at : m.end()].split()) >= SENTENCE_WORDS:
+            out.append(m.start())
+        at = m.end()
+    return out
 
 
-def block_ratios(text: str) -> Iterator[tuple[int, float]]:
-    """(characters, compression ratio) of the blocks of :func:`blocks`."""
-    begin = 0
-    for _, e, _, _, full in _pieces(text):
-        if full:
-            yield e - begin, _ratio(text[begin:e])
-            begin = e
-
-
-def blocks(text: str, lang: str | None, function_words: frozenset[str]) -> list[tuple[int, int, int, float]]:
-    """(characters, characters in sentences, end marks, compression ratio) of each block, cut between clauses where that is possible."""
-    # The list is no use to a language of its own.
-    by_words = language_key(lang) in _LANGS or language_key(lang) in ("", "un", "xx")
-    out, begin, inside, marks = [], 0, 0, 0
-    sentence = marked = False
-    for p, e, a, b, full in _pieces(text):
-        if p == a:
-            w = _WORD.findall(text[a:b].lower())
-            n = len(w)
-            marked = text[a:b].rstrip()[-1:] in _MARKS
-            sentence = n >= MIN_CLAUSE_WORDS and (sum(x in function_words for x in w) >= MIN_FUNCTION_SHARE * n if by_words else marked)
-        inside += (e - p) * sentence
-        marks += e == b and marked
-        if full:
-            out.append((e - begin, inside, marks, _ratio(text[begin:e])))
-            begin, inside, marks = e, 0, 0
+def block_measures(text: str) -> list[dict]:
+    """Characters, sentence ends and both compression ratios of each block; the blocks make up the whole text."""
+    n = max(1, round(len(text) / BLOCK_CHARS))
+    edges = [len(text) * k // n for k in range(n + 1)]
+    ends = np.searchsorted(edges, sentence_ends(text), side="right") - 1
+    count = np.bincount(ends, minlength=n)
+    out = []
+    for k, (a, b) in enumerate(zip(edges, edges[1:])):
+        raw = text[a:b].encode("utf-8", "replace")
+        out.append({"chars": b - a, "ends": int(count[k]), "ratio": _ratio(raw), "skeleton": _ratio(skeleton(raw))})
     return out
 
 
@@ -105,48 +81,59 @@ def _bucket(n: int) -> int:
     return n // 100
 
 
+def measured_documents(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """``id``, ``lang`` (two letters) and ``bloques``, the measures of a document's blocks; every text is compressed here and only here."""
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and trim(text) <> ''")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pd.DataFrame({"id": pdf["id"], "lang": [language_key(x) for x in pdf["lang"]], "bloques": [block_measures(t) for t in pdf["text"]]})
+
+    return docs.mapInPandas(run, f"id long, lang string, bloques {_MEASURES}")
+
+
+def expectations(measured: DataFrame) -> dict:
+    """(blocks, mean and spread of the ratio, mean and spread of the skeleton's ratio) by (language, length), (language,) and ().
+
+    At most 677 languages of two letters times ten lengths, whatever the corpus.
+    """
+    b = measured.select("lang", F.explode("bloques").alias("b")).select("lang", F.floor(F.col("b.chars") / 100).cast("int").alias("largo"), F.col("b.ratio").cast("double").alias("r"), F.col("b.skeleton").cast("double").alias("k"))
+    sums = b.groupBy("lang", "largo").agg(F.count("*").alias("n"), *[F.sum(e).alias(a) for a, e in (("r", F.col("r")), ("rr", F.col("r") ** 2), ("k", F.col("k")), ("kk", F.col("k") ** 2))])
+    total: dict[tuple, np.ndarray] = {}
+    for row in sums.collect():
+        for key in ((row["lang"], row["largo"]), (row["lang"],), ()):
+            total[key] = total.get(key, 0) + np.array([row["n"], row["r"], row["rr"], row["k"], row["kk"]], float)
+    spread = lambda s, q, n: max(0.0, q / n - (s / n) ** 2) ** 0.5
+    return {key: (int(n), r / n, spread(r, rr, n), k / n, spread(k, kk, n)) for key, (n, r, rr, k, kk) in total.items()}
+
+
+def is_matter(block: dict, lang: str, expected: dict) -> bool:
+    """Flagged by extreme redundancy, confirmed by missing sentence ends."""
+    keys = ((lang, _bucket(block["chars"])), (lang,), ())
+    found = next((expected[k] for k in keys if k in expected and expected[k][0] > ENOUGH), None)
+    if found is None:
+        return False
+    _, mean, sd, s_mean, s_sd = found
+    z = [(x - m) / s for x, m, s in ((block["ratio"], mean, sd), (block["skeleton"], s_mean, s_sd)) if s > 0]
+    return min(z, default=0.0) <= REDUNDANT and block["ends"] * CHARS_PER_END < block["chars"]
+
+
 def stuffed_documents(df: DataFrame, id_col: str, text_col: str, lang_col: str, share: float = SHARE) -> DataFrame:
     """``id_col`` and ``parte``, the share of keyword stuffing, lists and tags among the characters, of documents above ``share``.
 
-    The expected ratio of a language and block length is measured over all documents; languages are known by their
-    first two letters, null and unknown ones are one group. Null and blank texts are no case. Texts are read whole,
-    however long; repeated rows are repeated in the result; other columns are ignored.
+    The expected ratios of a language and block length are measured over all documents; languages are known by their
+    first two letters, null and unknown ones are one group. Null and blank texts are no case. In a corpus of at most
+    ENOUGH blocks nothing is expected and nothing found. Texts are read whole, however long; repeated rows are
+    repeated in the result; other columns are ignored. The texts are read once: their measures, a few numbers for
+    each block, are kept in the checkpoint folder.
     """
-    known = frozenset(w for ws in FUNCTION_WORDS.values() for w in ws)
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and trim(text) <> ''")
-
-    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple[str, int], list[float]] = {}
-        for pdf in frames:
-            for text, lang in zip(pdf["text"], pdf["lang"]):
-                key = language_key(lang)
-                for n, r in block_ratios(text):
-                    s = sums.setdefault((key, _bucket(n)), [0, 0.0, 0.0])
-                    s[0] += 1
-                    s[1] += r
-                    s[2] += r * r
-        yield pd.DataFrame([(k, b, int(n), s, q) for (k, b), (n, s, q) in sums.items()], columns=["lang", "bucket", "n", "s", "q"]).astype({"lang": str, "bucket": "int32", "n": "int64", "s": float, "q": float})
-
-    partial = docs.select("text", "lang").mapInPandas(measure, "lang string, bucket int, n long, s double, q double")
-    # Two letters and the lengths of a block bound the groups.
-    stats = {(r["lang"], r["bucket"]): (r["n"], r["s"] / r["n"], max(0.0, r["q"] / r["n"] - (r["s"] / r["n"]) ** 2) ** 0.5) for r in partial.groupBy("lang", "bucket").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).collect()}
+    measured = reliable_checkpoint(measured_documents(df, id_col, text_col, lang_col))
+    expected = expectations(measured)
 
     def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            ids, parts = [], []
-            for i, text, lang in zip(pdf["id"], pdf["text"], pdf["lang"]):
-                key, matter, total = language_key(lang), 0, 0
-                for n, inside, marks, ratio in blocks(text, lang, known):
-                    count, mean, sd = stats.get((key, _bucket(n)), (0, 0.0, 0.0))
-                    z = (ratio - mean) / sd if count > 30 and sd > 0 else 0.0
-                    total += n
-                    if z <= REDUNDANT and inside < CONFIRM * n or inside < NO_SENTENCES * n:
-                        matter += n - inside
-                    elif z <= REDUNDANT and marks * CHARS_PER_MARK < n:
-                        matter += n
-                if matter > share * total:
-                    ids.append(i)
-                    parts.append(matter / total)
-            yield pd.DataFrame({"id": ids, "parte": parts}).astype({"id": "int64", "parte": float})
-
-    return docs.mapInPandas(judge, "id long, parte double").withColumnRenamed("id", id_col)
+            parts = [sum(b["chars"] for b in blocks if is_matter(b, lang, expected)) / sum(b["chars"] for b in blocks) for lang, blocks in zip(pdf["lang"], pdf["bloques"])]
+            out = pd.DataFrame({"id": pdf["id"], "parte": np.array(parts, float)})
+            yield out[out["parte"] > share]
+
+    return measured.mapInPandas(judge, "id long, parte double").withColumnRenamed("id", id_col)

@@ -9,7 +9,7 @@ from lonja.llm.canonical import Dictionary, deletes, fold, map_to_reference, wei
 from lonja.llm.leakage import ItemIndex, leaked_items  # noqa: E402
 from lonja.llm.mixture import TOKENIZER, allot, count_tokens, mix_sources  # noqa: E402
 from lonja.llm.mojibake import Restorer, corpus_model, restore_texts  # noqa: E402
-from lonja.llm.stuffing import block_ratios, blocks, stuffed_documents  # noqa: E402
+from lonja.llm.stuffing import block_measures, sentence_ends, skeleton, stuffed_documents  # noqa: E402
 from lonja.llm.words import words  # noqa: E402
 
 NAMES = ["Bogotá", "Medellín", "Itagüí", "Ibagué", "Quibdó", "Cúcuta", "Aplicación móvil", "Catálogo impreso", "Nariño", "San Andrés", "Cali"]
@@ -175,27 +175,64 @@ def test_tokens(spark):
     assert [r["n"] for r in count_tokens(df, "t", "n").collect()] == [*(len(enc.encode_ordinary(t)) for t in texts), 0]
 
 
+NOUNS = "valve sensor tube hinge cover plate lens screw pump rotor spring cable housing bracket nozzle gasket".split()
+
+
+def prose(rng, n):
+    """Sentences of varied form and length."""
+    one, num = lambda: rng.choice(NOUNS), lambda: rng.randint(1, 99)
+    how = ["directly", "by means of a thread", "without any further tool", "after cooling", "in most embodiments", "although this is not required"]
+    forms = [
+        lambda: f"The {one()} {num()} is fixed to the {one()} {num()} so that it rests on the {one()} {rng.choice(how)}.",
+        lambda: f"In one embodiment, when the {one()} reaches {num()} degrees, the {one()} opens {rng.choice(how)}, and the {one()} stays where it was.",
+        lambda: f"A further object of the invention, as FIG. {num()} shows, is a {one()} whose {one()} can be replaced {rng.choice(how)}.",
+        lambda: f"Known devices (see {num()}) place the {one()} behind the {one()}; this makes it hard to reach the {one()}, which wears {rng.choice(how)}.",
+        lambda: f"Preferably between {num()} and {num()} percent of the {one()} consists of steel, while the remaining part of the {one()} may be of any other material.",
+    ]
+    return " ".join(rng.choice(forms)() for _ in range(n))
+
+
+def matter(rng, kind, n):
+    one = lambda: rng.choice(NOUNS)
+    line = {
+        "links": lambda: f"http://{one()}{rng.randint(1, 999)}.test/{one()}/{rng.randint(1, 9999)}",
+        "markdown": lambda: f"[{one()} {one()}](mor-{one()}{rng.randint(1, 99)}.example/{one()})",
+        "tags": lambda: f"#{one()}{rng.choice(['', '2024', 'Best'])}",
+        "catalogue": lambda: f"{one().title()} {one()} REF-{rng.randint(100, 9999)} {rng.randint(1, 999)},{rng.randint(10, 99)}",
+        "keywords": lambda: rng.choice(["Top 7 cheap valve best valve.", "buy valve online, cheap valve?", "valve valve price best valve!"]),
+    }[kind]
+    return "\n".join(line() for _ in range(n))
+
+
 def test_stuffing(spark):
     rng = random.Random(1)
-    nouns = "valve sensor tube hinge cover plate lens screw pump rotor".split()
-    prose = lambda n: " ".join(f"The {rng.choice(nouns)} {rng.randint(1, 99)} is fixed to the {rng.choice(nouns)} so that it rests on the {rng.choice(nouns)}." for _ in range(n))
-    links = lambda n: " ".join(f"http://{rng.choice(nouns)}{rng.randint(1, 999)}.test/{rng.choice(nouns)}/{rng.randint(1, 9999)}" for _ in range(n))
-    tags = lambda n: "\n".join("#" + rng.choice(nouns) for _ in range(n))
-    docs = [(k, prose(30), "en") for k in range(60)] + [(100, links(60), "en"), (101, tags(200), "EN"), (102, "buy valve " * 300, None), (103, "Top 5 valve buy valve. " * 100, "en"), (104, prose(5) + "\n" + tags(300), "es")]
-    docs += [(200, prose(30) + "\n" + links(8), "en"), (201, prose(20) + "\nKeywords: " + ", ".join(nouns), "en-x"), (202, "", "en"), (203, None, "en"), (204, "   ", None), (205, prose(3000), "en")]
+    docs = [(k, prose(rng, rng.randint(15, 40)), "en") for k in range(150)]
+    docs += [(1000, matter(rng, "links", 60), "en"), (1001, matter(rng, "tags", 250), "EN"), (1002, matter(rng, "keywords", 120), None), (1003, matter(rng, "catalogue", 90), "en"), (1004, matter(rng, "markdown", 80), "en"), (1005, prose(rng, 6) + "\n" + matter(rng, "tags", 300), "en")]
+    docs += [(2000, prose(rng, 30) + "\n" + matter(rng, "links", 8), "en"), (2001, prose(rng, 20) + "\nKeywords: " + ", ".join(NOUNS), "en-x"), (2002, "", "en"), (2003, None, "en"), (2004, "   ", None), (2005, prose(rng, 3000), "en")]
+    # Without end marks, but not redundant.
+    docs += [(2006, prose(rng, 200).replace(".", ","), "en")]
     df = spark.createDataFrame(docs, "id long, text string, lang string").withColumn("parte", F.lit("clash"))
-    assert {r["id"] for r in stuffed_documents(df, "id", "text", "lang").collect()} == {100, 101, 102, 103, 104}
+    assert {r["id"] for r in stuffed_documents(df, "id", "text", "lang").collect()} == {1000, 1001, 1002, 1003, 1004, 1005}
+    assert sorted(r["id"] for r in stuffed_documents(df.union(df.filter("id = 1000")), "id", "text", "lang").collect()).count(1000) == 2
     assert stuffed_documents(df.limit(0), "id", "text", "lang").count() == 0
 
 
-def test_stuffing_without_end_marks(spark):
+def test_stuffing_is_decided_by_compression(spark, monkeypatch):
+    from lonja.llm import stuffing
+
+    rng = random.Random(2)
+    df = spark.createDataFrame([(k, prose(rng, 25), "en") for k in range(100)] + [(1000, matter(rng, "tags", 250), "en")], "id long, text string, lang string")
+    assert [r["id"] for r in stuffed_documents(df, "id", "text", "lang").collect()] == [1000]
+    expected = stuffing.expectations(stuffing.measured_documents(df, "id", "text", "lang"))
+    block = {"chars": 600, "ends": 0, "ratio": expected[()][1], "skeleton": expected[()][3]}
+    assert not stuffing.is_matter(block, "en", expected) and stuffing.is_matter(block | {"ratio": 0.05}, "en", expected)
+    assert not stuffing.is_matter(block | {"ratio": 0.05, "ends": 3}, "en", expected)
+
+
+def test_blocks_make_up_the_text():
     rng = random.Random(4)
-    nouns = "válvula sensor tubo bisagra tapa placa lente tornillo bomba rotor muelle cable".split()
-    prose = lambda n: " ".join(f"La {rng.choice(nouns)} {rng.randint(1, 99)} se fija en el {rng.choice(nouns)} de la {rng.choice(nouns)}, según la figura {rng.randint(1, 30)}." for _ in range(n))
-    run = "comprar bomba de agua barata bomba de riego barata bomba de pozo barata " * 80
-    docs = [(k, prose(60), "es") for k in range(90)] + [(100, run, "es"), (101, run, None), (102, prose(10) + "\n" + run, "es"), (103, prose(80) + "\n" + run[:1400], "es"), (104, prose(300).replace(".", ","), "es")]
-    df = spark.createDataFrame(docs, "id long, text string, lang string")
-    assert {r["id"] for r in stuffed_documents(df, "id", "text", "lang").collect()} == {100, 102}
-    for text in (run, prose(50), "x", "a. b", prose(3) + "\n" + "z" * 5000):
-        got = blocks(text, "es", frozenset())
-        assert [(n, r) for n, _, _, r in got] == list(block_ratios(text)) and sum(n for n, *_ in got) == len(text) and max(n for n, *_ in got) <= 800
+    for text in (prose(rng, 50), "x", "a. b", prose(rng, 3) + "\n" + "z" * 5000, "漢字。" * 700):
+        got = block_measures(text)
+        assert sum(b["chars"] for b in got) == len(text) and max(b["chars"] for b in got) <= 900
+        assert sum(b["ends"] for b in got) == len(sentence_ends(text))
+    assert skeleton("Ab1, c22\né".encode()) == b"a9, a9\na"
