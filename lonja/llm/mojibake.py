@@ -1,19 +1,19 @@
 """Text decoded with the wrong character set, and the text as it was typed (problem 2).
 
-Adjacent character pairs are scored by their mutual information in the corpus of all rows; pairs that clean text
-never shows fall back to fixed penalties by character class. Maximum-scoring segments of improbability isolate runs,
-and inverse mappings (encode by one character set, decode by another, up to four times) are tried inside the runs only.
+Adjacent character pairs are scored by their mutual information: how much more often a pair stands in clean rows than its
+characters' frequencies in all rows would have it. Pairs of damage, however common, stand in no clean row.
+Maximum-scoring segments of improbability isolate runs, and inverse mappings (encode by one character set, decode by
+another, up to four times) are tried inside the runs only; the reading with the most mutual information wins.
 """
 
 from __future__ import annotations
 
-import re
+import math
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,9 +22,13 @@ from pyspark.sql import functions as F
 READ_AS = ["cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251", "cp1250", "iso8859-15"]
 WRITTEN_IN = ["utf-8", "cp1252", "mac_roman", "cp850"]
 MAX_DEPTH = 4
-#: The improbability of a pair is the threshold minus its score; a run must be worth something.
+#: Independence weighs this much beside what was counted: a pair that clean rows never show scores log(PRIOR / (1 + PRIOR)).
+PRIOR = 0.01
+#: The trusted texts weigh this share of the corpus, so that none of their pairs is unseen at any size.
+TRUST = 0.05
+#: The improbability of a pair is the threshold minus its score.
 THRESHOLD = 0.0
-#: A restored text must be better than the damaged one by this much.
+#: A restored text must carry this much more mutual information than the damaged one.
 GAIN = 2.0
 REPLACEMENT = "�"
 
@@ -52,47 +56,25 @@ def _decode(b: bytes, how: str) -> str | None:
         return "".join(bytes([x]).decode("cp1252", "ignore") or chr(x) for x in b)
 
 
-@lru_cache(maxsize=4096)
-def _class(ch: str) -> str:
-    """s space, d digit, p mark, l or u letter of ASCII, a or A letter of Spanish, o or O other Latin letter, c combining, q opening ¿ or ¡, x anything else."""
-    if ch in " \t ":
-        return "s"
-    if ch.isascii():
-        return "d" if ch.isdigit() else "l" if "a" <= ch <= "z" else "u" if "A" <= ch <= "Z" else "p" if ch.isprintable() else "x"
-    if ch in "¿¡":
-        return "q"
-    if ch in "áéíóúüñ":
-        return "a"
-    if ch in "ÁÉÍÓÚÜÑ":
-        return "A"
-    if "̀" <= ch <= "ͯ":
-        return "c"
-    if unicodedata.category(ch) in ("Lu", "Ll") and "LATIN" in unicodedata.name(ch, ""):
-        return "O" if ch.isupper() else "o"
-    return "x"
-
-
-@lru_cache(maxsize=65536)
-def _fallback(a: str, b: str) -> float:
-    """The score of a pair that clean text never shows."""
-    x, y = _class(a), _class(b)
-    if "x" in (x, y) or (y == "q" and x in "luaAoO"):
-        return -8.0
-    if "q" in (x, y):
-        return 0.5
-    if x == "c" or y == "c":
-        return 0.0 if x in "luc" else -6.0
-    if x in "sdp" or y in "sdp":
-        return -2.0 if x in "oO" or y in "oO" else 0.5
-    low, high = "lao", "uAO"
-    return (-3.0 if x in low and y in high else 0.0) + (-3.0 if x in "oO" or y in "oO" else -1.0)
+def _reread(s: str, read_as: str, written: str) -> str | None:
+    """The text with its bytes by one character set read by another; None if that can't be, or makes anything but text."""
+    if written != "utf-8" and "\xa0" in s:
+        # Odd spaces are older than the damage.
+        parts = [_reread(t, read_as, written) for t in s.split("\xa0")]
+        return None if None in parts else "\xa0".join(parts)
+    coded = _encode(s, read_as)
+    got = _decode(coded, written) if coded is not None else None
+    if got is None or any("\x00" <= ch < " " and ch not in "\t\n\r" for ch in got):
+        return None
+    # Single bytes are believed to be letters only.
+    return got if written == "utf-8" or all(ch.isascii() or ch.isalpha() for ch in got) else None
 
 
 class CorpusModel(NamedTuple):
-    """What clean text looks like: scores of character pairs, and the words beyond ASCII of the trusted texts."""
+    """Mutual information of the character pairs of clean text, and that of any other pair."""
 
     scores: dict[str, float]
-    words: frozenset[str]
+    unseen: float
 
 
 def clean_variants(names: list[str]) -> list[str]:
@@ -100,46 +82,68 @@ def clean_variants(names: list[str]) -> list[str]:
     return sorted({v for n in names for v in (n, n.lower(), n.upper(), n.title(), n[:1].lower() + n[1:].upper())})
 
 
+def _spaced(s: str) -> str:
+    return s.translate({9: " ", 0xA0: " "})
+
+
+def _pairs_of(s: str) -> list[str]:
+    s = _spaced(s)
+    return [s[i : i + 2] for i in range(len(s) - 1)]
+
+
 def corpus_model(values: DataFrame, value_col: str, trusted: list[str], count_col: str | None = None) -> CorpusModel:
-    """Pointwise mutual information of the character pairs of ``trusted`` texts, from the counts of all rows.
+    """Smoothed pointwise mutual information of character pairs, counted over all rows.
 
-    Only pairs that the trusted texts show get a score, so the result is bounded by them; the counts cover every row,
-    each trusted text once more, so that no pair is without one.
+    A row is clean if all that goes beyond ASCII in it are letters of ``trusted`` texts, in any case. A pair's joint
+    count is that of the clean rows, its characters' counts are those of all rows; both get the trusted texts in
+    addition, with the weight TRUST of the corpus. The score is log((lift + PRIOR) / (1 + PRIOR)), the same for a corpus
+    of any size. Scores are kept for the pairs of clean text: ASCII and the letters of the trusted texts, squared.
     """
-    pairs = sorted({v[i : i + 2] for v in clean_variants(trusted) for i in range(len(v) - 1)})
-    words = frozenset(w.lower() for n in trusted for w in re.findall(r"\w+", n) if not w.isascii())
-    if not pairs:
-        return CorpusModel({}, words)
-    spark = values.sparkSession
-    n = F.col(count_col) if count_col else F.lit(1)
-    v = F.translate(F.col(value_col), "\t ", "  ")
-    rows = values.filter(F.length(value_col) > 1).select(v.alias("v"), n.alias("n"))
-    found = rows.select(F.explode(F.expr("transform(sequence(1, length(v) - 1), i -> substring(v, i, 2))")).alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("n"))
-    known = F.broadcast(spark.createDataFrame([(p,) for p in pairs], "pair string"))
-    left = found.groupBy(F.substring("pair", 1, 1).alias("ch")).agg(F.sum("n").alias("n"))
-    chars = {p[0] for p in pairs} | {p[1] for p in pairs}
-    alphabet = F.broadcast(spark.createDataFrame([(c,) for c in sorted(chars)], "ch string"))
-    seen = {r["pair"]: r["n"] for r in found.join(known, "pair", "left_semi").collect()}
-    count = {r["ch"]: r["n"] for r in left.join(alphabet, "ch", "left_semi").collect()}
-    total = sum(seen.values()) + len(pairs)
-    out = {}
-    for p in pairs:
-        joint = (seen.get(p, 0) + 1) / total
-        out[p] = float(np.log(joint / ((count.get(p[0], 0) + 1) / total * (count.get(p[1], 0) + 1) / total)))
-    return CorpusModel(out, words)
+    letters = frozenset(ch for n in trusted for ch in n.lower() + n.upper() if ch.isalpha() and not ch.isascii())
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            every, clean = Counter(), Counter()
+            for v, n in zip(pdf["v"], pdf["n"]):
+                pairs = _pairs_of(v)
+                ok = all(ch.isascii() or ch in letters for ch in v)
+                for p in pairs:
+                    every[p] += n
+                    if ok:
+                        clean[p] += n
+            yield pd.DataFrame({"pair": list(every), "n": list(every.values()), "clean": [clean[p] for p in every]}).astype({"pair": str, "n": "int64", "clean": "int64"})
+
+    n = F.col(count_col).cast("long") if count_col else F.lit(1).cast("long")
+    rows = values.filter(F.length(value_col) > 1).select(F.col(value_col).cast("string").alias("v"), n.alias("n"))
+    pairs = rows.mapInPandas(count, "pair string, n long, clean long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("clean").alias("clean"))
+    kept = pairs.filter("clean > 0")
+    # Of the characters only those of clean pairs matter: each side once.
+    ends = pairs.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.substring("pair", 1, 1).alias("ch")), F.struct(F.lit(1).alias("side"), F.substring("pair", 2, 1).alias("ch")))).alias("e"), "n")
+    of_clean = kept.select(F.explode(F.array(F.substring("pair", 1, 1), F.substring("pair", 2, 1))).alias("ch")).distinct()
+    sums = ends.groupBy("e.side", "e.ch").agg(F.sum("n").alias("n"))
+    total = pairs.agg(F.sum("n")).first()[0] or 0
+    joint = {r["pair"]: float(r["clean"]) for r in kept.select("pair", "clean").collect()}
+    marginal: dict[tuple[int, str], float] = {(r["side"], r["ch"]): float(r["n"]) for r in sums.join(of_clean, "ch", "left_semi").collect()}
+    given = Counter(p for v in clean_variants(trusted) for p in _pairs_of(v))
+    weight = TRUST * max(1, total) / max(1, sum(given.values()))
+    for p, k in given.items():
+        joint[p] = joint.get(p, 0.0) + k * weight
+        for side in (0, 1):
+            marginal[side, p[side]] = marginal.get((side, p[side]), 0.0) + k * weight
+    grand = total + weight * sum(given.values())
+    score = lambda lift: math.log((lift + PRIOR) / (1 + PRIOR))
+    return CorpusModel({p: score(c * grand / (marginal[0, p[0]] * marginal[1, p[1]])) for p, c in joint.items()}, score(0.0))
 
 
 class Restorer:
     """Finds and undoes wrong decoding in single texts."""
 
     def __init__(self, model: CorpusModel):
-        self.scores, self.words = model
+        self.scores, self.unseen = model
         self.known: dict[str, str | None] = {}
 
     def pairs(self, s: str) -> list[float]:
-        t = s.translate({9: " ", 0xA0: " "})
-        # A pair known from clean text is never improbable, however rare its characters make it look.
-        return [max(0.2, self.scores[p]) if (p := t[i : i + 2]) in self.scores else _fallback(t[i], t[i + 1]) for i in range(len(t) - 1)]
+        return [self.scores.get(p, self.unseen) for p in _pairs_of(s)]
 
     def runs(self, s: str) -> list[tuple[int, int]]:
         """Spans of maximum-scoring segments of improbability (Ruzzo and Tompa), where they hold a character beyond ASCII."""
@@ -161,18 +165,15 @@ class Restorer:
                 new = [segments[j][0], new[1], segments[j][2], new[3]]
                 del segments[j:]
         spans = [(int(a), int(b) + 1) for a, b, _, _ in segments]
-        if len(s) == 1:
-            spans = [(0, 1)]
         return [(a, b) for a, b in spans if not s[a:b].isascii()]
 
     def _value(self, s: str) -> float:
-        p = self.pairs(s)
-        if not p:
-            return -8.0 if _class(s[:1]) == "x" else 0.0
-        # A capital inside a word of small letters, or the reverse, is odd. Of two readings the one with known words, then the one with fewer unusual characters wins.
-        known = sum(w.lower() in self.words for w in re.findall(r"\w+", s) if not w.isascii())
-        odd = sum(1 for a, c, b in zip(s, s[1:], s[2:]) if not c.isascii() and a.isalpha() and (c.isupper() and b.islower() or c.islower() and a.isupper() and b.isupper()))
-        return sum(x for x in p if x <= 0) + 0.5 * known - 3.0 * odd - 0.05 * sum(not c.isascii() for c in s)
+        """The mutual information of the whole text; accents may be composed or not."""
+        return sum(self.pairs(unicodedata.normalize("NFC", s)))
+
+    def _odd(self, s: str) -> bool:
+        """Whether two letters, not both of ASCII, stand side by side as they hardly ever do in clean text."""
+        return any(not p.isascii() and p.isalpha() and self.scores.get(p, self.unseen) < self.unseen + math.log(3) for p in _pairs_of(s))
 
     def restore(self, s: str) -> str | None:
         """The text before the damage, '' if characters are lost for good, None if it isn't damaged."""
@@ -198,17 +199,11 @@ class Restorer:
             nxt = []
             for state in level:
                 for read_as in READ_AS:
-                    coded = [_encode(t, read_as) for t in state]
-                    if any(c is None for c in coded):
-                        continue
                     for written in WRITTEN_IN:
                         if written == read_as or (depth and written != "utf-8"):
                             continue
-                        got = tuple(_decode(c, written) for c in coded)
-                        if None in got or got in seen or any("\x00" <= ch < " " and ch not in "\t\n\r" for t in got for ch in t):
-                            continue
-                        # Without UTF-8's own structure as proof, only letters are believed.
-                        if written != "utf-8" and any(not (ch.isascii() or ch.isalpha() or ch == "\xa0") for t in got for ch in t):
+                        got = tuple(_reread(t, read_as, written) for t in state)
+                        if None in got or got in seen:
                             continue
                         seen.add(got)
                         text, at = [], 0
@@ -217,7 +212,8 @@ class Restorer:
                             at = b
                         whole = "".join(text) + s[at:]
                         value = self._value(whole)
-                        if value > best_value:
+                        # Without UTF-8's own structure as proof, nothing improbable may be left.
+                        if value > best_value and (written == "utf-8" or not self._odd(whole)):
                             best, best_value = whole, value
                         if written == "utf-8":
                             nxt.append(got)

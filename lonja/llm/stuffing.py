@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from lonja.session import reliable_checkpoint
 
-BLOCK_CHARS = 600
+BLOCK_CHARS = 500
 #: Standard deviations below the mean ratio of the language and length at which a block is extremely redundant.
-REDUNDANT = -1.75
+REDUNDANT = -2.0
 #: A redundant block is confirmed by fewer than one sentence end in this many characters.
 CHARS_PER_END = 300
 #: A mark ends a sentence if at least so many words stand before it, since the last such mark.

@@ -43,6 +43,24 @@ def test_clean_text_is_left_alone(model):
     assert fix.restore("Bogot�") == ""
 
 
+def test_mutual_information_decides(model):
+    values = list(model.scores.values())
+    random.Random(1).shuffle(values)
+    mixed = model._replace(scores=dict(zip(model.scores, values)))
+    damaged = ["BogotÃ¡", "Medell¡n", "Ibaguâ€™", "IbaguÚ", "Quibd¾", "NariÃ±o"]
+    assert [Restorer(model).restore(d) for d in damaged] != [Restorer(mixed).restore(d) for d in damaged]
+    flat = model._replace(scores=dict.fromkeys(model.scores, model.unseen))
+    assert all(Restorer(flat).restore(d) is None for d in damaged[3:5])
+    assert model.scores["ot"] > 0 > model.unseen and "Ã¡" not in model.scores
+
+
+def test_damage_that_is_common_stays_improbable(spark):
+    rows = ["BogotÃ¡"] * 40 + ["Bogotá"] * 60 + ["Göteborg", "GÖTEBORG", "Bogoát"] * 5
+    m = corpus_model(spark.createDataFrame([(r,) for r in rows], "v string"), "v", NAMES)
+    fix = Restorer(m)
+    assert [fix.restore(v) for v in ("BogotÃ¡", "Bogotß", "Göteborg", "GÖTEBORG", "Bogoát", "\xa0Bogotá")] == ["Bogotá", "Bogotá", None, None, None, None]
+
+
 def test_restore_frame(spark, model):
     df = spark.createDataFrame([(1, "BogotÃ¡", None, "x"), (1, "BogotÃ¡", "", "x"), (2, "Cali", "Chía�", "x")], "id long, a string, b string, valor string")
     got = sorted(map(tuple, restore_texts(df, "id", ["a", "b"], model).select("id", "campo", "original").collect()))
