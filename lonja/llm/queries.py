@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lonja.llm.canonical import map_to_reference
 from lonja.llm.leakage import leaked_items
 from lonja.llm.mixture import count_tokens, mix_sources
-from lonja.llm.mojibake import CorpusModel, corpus_model, restore_texts
+from lonja.llm.mojibake import corpus_model, restore_texts
 from lonja.llm.stuffing import stuffed_documents
 from lonja.session import reliable_checkpoint, table
 
@@ -25,22 +25,23 @@ def _reference_names(spark: SparkSession, sf_dir: str) -> list[str]:
     return sorted(names)
 
 
-def _model(spark: SparkSession, sf_dir: str) -> CorpusModel:
+def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct values of the typed columns and their rows, read several times below."""
     raw = table(spark, sf_dir, "ventas_colombia_raw")
-    values = raw.select(F.explode(F.array(*TYPED)).alias("valor")).groupBy("valor").agg(F.count("*").alias("n")).filter("valor is not null")
-    return corpus_model(values, "valor", _reference_names(spark, sf_dir), "n")
+    pairs = raw.select(F.explode(F.array(*[F.struct(F.lit(c).alias("campo"), F.col(c).alias("valor")) for c in TYPED])).alias("v"))
+    return reliable_checkpoint(pairs.filter("v.valor is not null").groupBy("v.campo", "v.valor").agg(F.count("*").alias("n")))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = table(spark, sf_dir, "ventas_colombia_raw")
-    return restore_texts(raw, "fila_id", TYPED, _model(spark, sf_dir)).select("fila_id", "campo", "original")
+    model = corpus_model(_values(spark, sf_dir), "valor", _reference_names(spark, sf_dir), "n")
+    return restore_texts(table(spark, sf_dir, "ventas_colombia_raw"), "fila_id", TYPED, model).select("fila_id", "campo", "original")
 
 
 def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw, model = table(spark, sf_dir, "ventas_colombia_raw"), _model(spark, sf_dir)
-    regions = map_to_reference(raw, "fila_id", "region", table(spark, sf_dir, "regiones_ref"), ["departamento"], model)
-    channels = map_to_reference(raw, "fila_id", "canal", table(spark, sf_dir, "canales_ref"), [], model)
-    return regions.unionAll(channels)
+    raw, values = table(spark, sf_dir, "ventas_colombia_raw"), _values(spark, sf_dir)
+    model = corpus_model(values, "valor", _reference_names(spark, sf_dir), "n")
+    out = [map_to_reference(raw, "fila_id", c, table(spark, sf_dir, ref), places, model, values=values.filter(F.col("campo") == c).select("valor", "n")) for c, ref, places in (("region", "regiones_ref", ["departamento"]), ("canal", "canales_ref", []))]
+    return out[0].unionAll(out[1])
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

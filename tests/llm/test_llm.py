@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("lonja.llm")
 
-from lonja.llm.canonical import Dictionary, deletes, fold, map_to_reference, weighted_distance  # noqa: E402
+from lonja.llm.canonical import Affixes, Dictionary, Entry, deletes, fold, learn_affixes, map_to_reference, weighted_distance  # noqa: E402
 from lonja.llm.leakage import ItemIndex, leaked_items  # noqa: E402
 from lonja.llm.mixture import TOKENIZER, allot, count_tokens, mix_sources  # noqa: E402
 from lonja.llm.mojibake import Restorer, corpus_model, restore_texts  # noqa: E402
@@ -98,10 +98,43 @@ def test_mapping(spark, model):
     cases = {"Bogotá": None, None: None, "bogota": 1, "BogotÃ¡": 1, "Bogot�": 1, "bgx": 1, "SANTAFE DE BOGOTA": 1, "Cali/Valle del Cauca": 2, "Ciudad de Cali": 2, "xali": 2, "Meedllní": 3, "Medeyín (Antioquia)": 3, "Quito (EC)": 0, "Ciudad de Panamá": 0, "": 0, "?": 0, "N/D": 0, "z" * 50_000: 0}
     df = spark.createDataFrame([(i, v, "clash") for i, v in enumerate(cases)], "id long, lugar string, ref_id string")
     for limit in (10**6, 1):  # one dictionary, and a block for each entry
-        got = {r["valor"]: r["ref_id"] for r in map_to_reference(df, "id", "lugar", ref, ["departamento"], model, max_keys=limit).collect()}
+        got = {r["valor"]: r["ref_id"] for r in map_to_reference(df, "id", "lugar", ref, ["departamento"], model, max_keys=limit, before=("ciudad de",)).collect()}
         assert got == {k: v for k, v in cases.items() if v is not None}
     assert {r["ref_id"] for r in map_to_reference(df, "id", "lugar", ref.limit(0), ["departamento"], model).collect()} == {0}
-    assert fold("Línea_Telefónica.") == "linea telefonica" and Dictionary([], {}).lookup("x") == 0
+    assert fold("Línea_Telefónica.") == "linea telefonica" and Dictionary([]).lookup("x") is None
+
+
+def test_blocks_answer_like_one_dictionary(spark, model):
+    ref = [Entry(1, ["Palmita"], None, ["Valle"], 0), Entry(2, ["Palmira"], "PLM", ["Valle"], 3), Entry(3, ["Rionegro"], "RNG", ["Antioquia"], 1), Entry(4, ["Rionegro"], None, ["Santander"], 9)]
+    wide = Affixes(frozenset({"ciudad de"}), frozenset({"centro"}))
+    one, each = Dictionary(ref, wide), [Dictionary([e], wide) for e in ref]
+    cases = {"Ciudad de Palmira": 2, "Palmirra/Valle": 2, "Rionegro (Antioquia)": 3, "rio negro santander": 4, "Rionegro": 4, "plm": 2, "Ciudad de Rinegro Centro": 4, "Palmirra/Antioquia": None, "Pal?ira": 2}
+    for text, want in cases.items():
+        got = one.lookup(text)
+        assert (got and got[3]) == want, text
+        assert got == min((r for d in each if (r := d.lookup(text))), default=None), text
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abclosy") for _ in range(rng.randint(3, 11)))
+    names = sorted({word() for _ in range(60)})
+    entries = [Entry(k, [n], None, [], rng.randint(0, 3)) for k, n in enumerate(names)]
+    one, parts = Dictionary(entries), [Dictionary(entries[k : k + 7]) for k in range(0, len(entries), 7)]
+    for _ in range(600):
+        q = list(rng.choice(names))
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(q))
+            rng.choice([lambda: q.insert(k, "x"), lambda: q.pop(k) if len(q) > 1 else None, lambda: q.__setitem__(k, "?")])()
+        assert one.lookup("".join(q)) == min((r for d in parts if (r := d.lookup("".join(q)))), default=None)
+
+
+def test_additions_are_learnt(spark, model):
+    ref = spark.createDataFrame([(k, n, None, [], "Norte") for k, n in enumerate(["Cali", "Tunja", "Pasto", "Yopal"], 1)], "ref_id long, nombre string, codigo string, otros_nombres array<string>, departamento string")
+    values = [(f"{n} - Propio", 2) for n in ("Cali", "tunja", "PASTO")] + [(f"Mpio. {n}", 2) for n in ("Cali", "Tunja", "Yopal")] + [("Nuevo Cali", 90), ("Cali (Norte)", 5), ("Tunja, Norte", 5), ("Pasto/Norte", 5), ("Yopal", 50)]
+    df = spark.createDataFrame(values, "valor string, n long")
+    assert learn_affixes(df, ref, ["departamento"], model) == Affixes(frozenset({"mpio"}), frozenset({"propio"}))
+    typed = spark.createDataFrame([(k, v) for k, (v, _) in enumerate(values)] + [(99, "Yopall propio")], "id long, lugar string")
+    got = {r["valor"]: r["ref_id"] for r in map_to_reference(typed, "id", "lugar", ref, ["departamento"], model).collect()}
+    assert got["Yopall propio"] == 4 and got["Mpio. Tunja"] == 2 and got["Pasto/Norte"] == 3 and got["Nuevo Cali"] == 0 and "Yopal" not in got
+    assert learn_affixes(df.limit(0), ref, [], model) == Affixes()
 
 
 def test_words():
