@@ -8,21 +8,16 @@ epochs: whole passes over it, then a prefix, by tokens, of the pass after. Sizes
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from operator import and_
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public pattern that byte-level BPE of this vocabulary splits text by.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BUCKETS = 1024
-
-
-def _all(conditions: list) -> Column:
-    return reduce(and_, conditions)
+#: The cut of a leaf is searched for in so many equal parts of its order at a time, until a part holds at most CUT_ROWS records.
+PARTS, CUT_ROWS = 256, 10_000
 
 
 class TokenCounter:
@@ -112,7 +107,35 @@ def allot(leaves: list[dict], budget: float | None = None) -> dict[tuple, float]
     return given
 
 
-def mix_sources(df: DataFrame, id_col: str, size_col: str, leaf_cols: list[str], leaves: DataFrame, seed: int = 0, budget: float | None = None, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
+def _cuts(rows: DataFrame, state: dict[tuple, dict]) -> None:
+    """Narrows the part of each leaf's order that holds its cut to at most CUT_ROWS records, by sums of tokens over equal parts.
+
+    ``rows`` has the leaf's path as a string in ``hoja``, ``u`` and ``tokens``. Brings PARTS rows for each leaf to the driver.
+    """
+    spark = rows.sparkSession
+    while True:
+        open_ = [(s["hoja"], s["lo"], s["bits"] - PARTS.bit_length() + 1) for s in state.values() if s["rest"] > 0 and s["n"] > CUT_ROWS and s["bits"] > PARTS.bit_length()]
+        if not open_:
+            return
+        at = F.broadcast(spark.createDataFrame(open_, "hoja string, lo long, shift int"))  # a row for each leaf
+        part = F.expr("shiftright(u - lo, shift)")
+        sums = rows.join(at, "hoja").withColumn("part", part).filter((F.col("u") >= F.col("lo")) & (F.col("part") < PARTS)).groupBy("hoja", "part").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))
+        by_leaf: dict[str, list] = {}
+        for r in sums.collect():
+            by_leaf.setdefault(r["hoja"], []).append((r["part"], r["t"], r["n"]))
+        for s in state.values():
+            if s["hoja"] not in by_leaf or (s["hoja"], s["lo"], s["bits"] - PARTS.bit_length() + 1) not in open_:
+                continue
+            s["bits"] -= PARTS.bit_length() - 1
+            for k, t, n in sorted(by_leaf[s["hoja"]]):
+                s["n"], here = n, s["lo"] + (k << s["bits"])
+                if s["before"] + t >= s["rest"]:
+                    break
+                s["before"] += t
+            s["lo"] = here
+
+
+def mix_sources(df: DataFrame, id_col: str, size_col: str, leaf_cols: list[str], leaves: DataFrame, seed: int = 0, budget: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(selection, report). ``selection``: ``id_col``, the leaf columns, ``size_col`` and ``copias``, the times a record is used (at least 1).
     ``report``: the leaf columns, ``peso``, ``tokens``, ``parte`` and ``repeticion`` (greatest use of a record).
 
@@ -120,46 +143,45 @@ def mix_sources(df: DataFrame, id_col: str, size_col: str, leaf_cols: list[str],
     ``leaves`` leaves out takes the natural proportions of the records below. Records of a leaf that isn't listed, or
     with a null leaf column that ``leaves`` lists, are unused, as are records of size 0 or null. Ids are unique.
 
-    A leaf of any size is cut by tokens without sorting it in one place: a seeded hash puts its records in ``buckets`` equal
-    parts, whose sums find the part that holds the cut, and only that part is put in order.
+    A leaf of any size is cut by tokens without sorting it in one place: a seeded hash orders its records, sums over equal
+    parts of the order find the part that holds the cut, and only the last part, of at most CUT_ROWS records, is put in order.
+    ``df`` is read once for each step of that search, so it should be stored. The driver and broadcasts hold rows by leaf only.
     """
     spark = df.sparkSession
     listed = [c for c in leaf_cols if c in leaves.columns]
     rows = df.select(F.col(id_col).alias("id"), F.col(size_col).cast("long").alias("tokens"), *leaf_cols).filter("tokens > 0")
-    wanted = F.broadcast(leaves.select(*listed, F.col("peso").cast("double").alias("peso"), F.col("max_repeticiones").cast("int").alias("reps")))  # a list of sources
-    rows = rows.join(wanted, listed)
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(buckets)))
-    # One row for each leaf and bucket.
-    sums = rows.groupBy(*leaf_cols, "peso", "reps", "bucket").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))
-    per_leaf = sums.groupBy(*leaf_cols, "peso", "reps").agg(F.sum("t").alias("t")).collect()
+    wanted = leaves.select(*listed, F.col("peso").cast("double").alias("peso"), F.col("max_repeticiones").cast("int").alias("reps"))
+    rows = rows.join(wanted, listed).withColumn("hoja", F.to_json(F.array(*[F.col(c).cast("string") for c in leaf_cols])))
+    per_leaf = rows.groupBy(*leaf_cols, "hoja", "peso", "reps").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).collect()
     of_listed: dict[tuple, int] = {}
     for r in per_leaf:
         k = tuple(r[c] for c in listed)
         of_listed[k] = of_listed.get(k, 0) + r["t"]
     plan = [{"path": tuple(r[c] for c in leaf_cols), "weight": r["peso"] * r["t"] / of_listed[tuple(r[c] for c in listed)], "capacity": r["t"] * max(0, r["reps"])} for r in per_leaf]
-    present = {tuple(r[c] for c in listed) for r in per_leaf}
     for r in leaves.collect():
-        if tuple(r[c] for c in listed) not in present:
+        if tuple(r[c] for c in listed) not in of_listed:
             plan.append({"path": tuple(r[c] if c in listed else None for c in leaf_cols), "weight": r["peso"], "capacity": 0})
     given = allot(plan, budget)
-    total = {tuple(r[c] for c in leaf_cols): r["t"] for r in per_leaf}
-    fields = ", ".join(f"{c} {dict(rows.dtypes)[c]}" for c in leaf_cols)
-    quota = [(*p, int(g // total[p]), float(g - (g // total[p]) * total[p])) for p, g in given.items() if p in total and g > 0]
-    quota = F.broadcast(spark.createDataFrame(quota, f"{fields}, epochs int, rest double"))
-    same = lambda a, b: _all([a[c].eqNullSafe(b[c]) for c in leaf_cols])
-    sums_q = sums.alias("s").join(quota.alias("q"), same(sums, quota)).select(*[F.col(f"s.{c}").alias(c) for c in leaf_cols], "bucket", "t", "epochs", "rest")
-    # The buckets of an epoch come in an order of their own.
-    order = Window.partitionBy(*leaf_cols).orderBy(F.xxhash64(F.lit(seed), "epochs", "bucket"), "bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cuts = sums_q.withColumn("upto", F.sum("t").over(order)).withColumn("place", F.when(F.col("upto") <= F.col("rest"), "in").when(F.col("upto") - F.col("t") < F.col("rest"), "cut").otherwise("out"))
-    cuts = cuts.select(*[F.col(c).alias(f"c_{c}") for c in leaf_cols], F.col("bucket").alias("c_bucket"), "epochs", "place", (F.col("rest") - (F.col("upto") - F.col("t"))).alias("room"))
-    # Leaves x buckets rows.
-    placed = rows.join(F.broadcast(cuts), _all([rows[c].eqNullSafe(F.col(f"c_{c}")) for c in leaf_cols]) & (rows["bucket"] == F.col("c_bucket")))
-    whole = placed.filter("place <> 'cut'").withColumn("copias", F.col("epochs") + F.when(F.col("place") == "in", 1).otherwise(0))
-    inside = Window.partitionBy(*leaf_cols).orderBy(F.xxhash64(F.lit(seed + 1), "epochs", "id"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = placed.filter("place = 'cut'").withColumn("upto", F.sum("tokens").over(inside))
+    state: dict[tuple, dict] = {}
+    for r in per_leaf:
+        p = tuple(r[c] for c in leaf_cols)
+        epochs = int(given[p] // r["t"])
+        state[p] = {"hoja": r["hoja"], "epochs": epochs, "rest": given[p] - epochs * r["t"], "lo": 0, "bits": 63, "before": 0, "n": r["n"]}
+    # Whole passes first, then a prefix by tokens of the pass after, whose order is its own.
+    quota = F.broadcast(spark.createDataFrame([(s["hoja"], s["epochs"]) for s in state.values()], "hoja string, epochs int"))
+    rows = rows.join(quota, "hoja").withColumn("u", F.expr(f"shiftrightunsigned(xxhash64({int(seed)}, epochs, id), 1)"))
+    _cuts(rows, state)
+    cut = F.broadcast(spark.createDataFrame([(s["hoja"], s["lo"], s["lo"] + (1 << s["bits"]) - 1, float(s["rest"] - s["before"])) for s in state.values()], "hoja string, desde long, hasta long, resto double"))
+    placed = rows.join(cut, "hoja")
+    outside = placed.filter("u < desde or u > hasta").withColumn("copias", F.col("epochs") + F.when((F.col("u") < F.col("desde")) & (F.col("resto") > 0), 1).otherwise(0))
+    order = Window.partitionBy("hoja").orderBy("u", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = placed.filter("u between desde and hasta")
+    # Where nothing is left to give, nothing is put in order.
+    some = inside.filter("resto > 0").withColumn("upto", F.sum("tokens").over(order))
     # The record on the cut goes to the side that leaves the total nearer to the target.
-    cut = cut.withColumn("copias", F.col("epochs") + F.when(F.col("upto") - F.col("tokens") / 2 <= F.col("room"), 1).otherwise(0)).drop("upto")
-    chosen = whole.unionByName(cut).filter("copias > 0").select(F.col("id").alias(id_col), *leaf_cols, F.col("tokens").alias(size_col), F.col("copias").cast("int").alias("copias"))
+    some = some.withColumn("copias", F.col("epochs") + F.when(F.col("upto") - F.col("tokens") / 2 <= F.col("resto"), 1).otherwise(0)).drop("upto")
+    none = inside.filter("resto <= 0").withColumn("copias", F.col("epochs"))
+    chosen = outside.unionByName(some).unionByName(none).filter("copias > 0").select(F.col("id").alias(id_col), *leaf_cols, F.col("tokens").alias(size_col), F.col("copias").cast("int").alias("copias"))
     used = chosen.groupBy(*listed).agg(F.sum(F.col(size_col) * F.col("copias")).alias("tokens"), F.max("copias").alias("repeticion"))
     report = leaves.select(*listed, F.col("peso").cast("double").alias("peso")).join(used, listed, "left")
     everything = F.coalesce(F.sum("tokens").over(Window.partitionBy(F.lit(1))), F.lit(0))  # a row for each listed source

@@ -66,16 +66,25 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documentos"), F.max("palabras").alias("palabras"))
 
 
-def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+LEAF = ["dominio", "idioma", "source"]
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     # All documents are patents: one domain; then language (as natural in each source) and source.
     lang = F.lower(F.substring(F.trim("lang"), 1, 2))
     docs = table(spark, sf_dir, "documents").filter("source is not null").select(
         "doc_id", "text", F.lit("patentes").alias("dominio"), F.when(lang.isin("en", "es", "de"), lang).otherwise("otra").alias("idioma"), "source",
     )
-    sized = count_tokens(docs, "text", "tokens").drop("text")
-    goal = table(spark, sf_dir, "mezcla_objetivo").select("source", F.col("peso_objetivo").alias("peso"), "max_repeticiones")
     # Counted once: the sizes are needed for the budget and for the selection.
-    return mix_sources(reliable_checkpoint(sized), "doc_id", "tokens", ["dominio", "idioma", "source"], goal, seed=20260101)
+    return reliable_checkpoint(count_tokens(docs, "text", "tokens").drop("text"))
+
+
+def _goal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "mezcla_objetivo").select("source", F.col("peso_objetivo").alias("peso"), "max_repeticiones")
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mix_sources(_sized(spark, sf_dir), "doc_id", "tokens", LEAF, _goal(spark, sf_dir), seed=20260101)
 
 
 def p8_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,9 +95,30 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir)[1]
 
 
+def p8_shortage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A budget of nine tenths of all that the sources may give, at which some run out and others take over: what must hold, in one row."""
+    sized, goal = _sized(spark, sf_dir), _goal(spark, sf_dir)
+    supply = sized.groupBy("source").agg(F.sum("tokens").alias("tokens")).join(goal, "source").select("source", "peso", "max_repeticiones", (F.col("tokens") * F.col("max_repeticiones")).alias("tope"))
+    budget = 0.9 * (supply.agg(F.sum("tope")).first()[0] or 0)
+    chosen = mix_sources(sized, "doc_id", "tokens", LEAF, goal, seed=20260101, budget=budget)[0]
+    used = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copias")).alias("usados"), F.max("copias").alias("mas"), F.count("*").alias("n"), F.count_distinct("doc_id").alias("distintos"))
+    by = supply.join(used, "source", "left").select("*", F.coalesce("usados", F.lit(0)).alias("u"))
+    one = lambda c: F.coalesce(c, F.lit(0))
+    return by.agg(
+        one(F.count_if(F.col("u") > F.col("tope"))).alias("sobre_tope"), one(F.count_if(F.col("mas") > F.col("max_repeticiones"))).alias("repetidas_de_mas"), one(F.count_if(F.col("n") > F.col("distintos"))).alias("documentos_dobles"),
+        (F.abs(F.sum("u") - budget) <= 0.001 * budget).alias("presupuesto"),
+        # Whoever gives less than its share has run out; some have, and others give more.
+        one(F.count_if((F.col("u") < 0.99 * F.col("peso") * budget) & (F.col("u") < 0.99 * F.col("tope")))).alias("cortas_sin_agotarse"),
+        (F.count_if(F.col("u") < 0.99 * F.col("peso") * budget) > 0).alias("hay_cortas"), (F.count_if(F.col("u") > 1.01 * F.col("peso") * budget) > 0).alias("hay_sustitutas"),
+    )
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffed_documents(table(spark, sf_dir, "documents"), "doc_id", "text", "lang").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_misses, p7_found, p7_items, p8_selection, p8_shares, p9_found)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_misses, p7_found, p7_items, p8_selection, p8_shares, p8_shortage, p9_found)}
+
+ORACLE_SQL = {
+    "p8_shortage": "SELECT 0::BIGINT AS sobre_tope, 0::BIGINT AS repetidas_de_mas, 0::BIGINT AS documentos_dobles, true AS presupuesto, 0::BIGINT AS cortas_sin_agotarse, true AS hay_cortas, true AS hay_sustitutas",
+}

@@ -221,15 +221,36 @@ def test_mixture(spark):
     rows = [(i, "a" if i % 3 else "b", 10 + i % 7) for i in range(3000)] + [(9000, None, 5), (9001, "c", 5), (9002, "a", None), (9003, "a", 0)]
     df = spark.createDataFrame(rows, "id long, source string, tokens long").withColumn("peso", F.lit(1))
     goal = spark.createDataFrame([("a", 0.4, 1), ("b", 0.6, 3), ("vacia", 0.0, 2)], "source string, peso double, max_repeticiones int")
-    sel, report = mix_sources(df, "id", "tokens", ["source"], goal, seed=1, buckets=16)
+    sel, report = mix_sources(df, "id", "tokens", ["source"], goal, seed=1)
     r = {x["source"]: x for x in report.collect()}
     assert r["a"]["parte"] == pytest.approx(0.4, abs=0.002) and r["b"]["parte"] == pytest.approx(0.6, abs=0.002) and r["vacia"]["tokens"] == 0
     got = sel.collect()
     assert len({x["id"] for x in got}) == len(got) and max(x["copias"] for x in got if x["source"] == "b") <= 3 and {x["copias"] for x in got if x["source"] == "a"} == {1}
-    assert sorted(map(tuple, got)) == sorted(map(tuple, mix_sources(df.repartition(7), "id", "tokens", ["source"], goal, seed=1, buckets=16)[0].collect()))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mix_sources(df.repartition(7), "id", "tokens", ["source"], goal, seed=1)[0].collect()))
     assert mix_sources(df.limit(0), "id", "tokens", ["source"], goal)[0].count() == 0
 
 
+def test_the_cut_is_the_same_however_it_is_searched(spark, monkeypatch):
+    from lonja.llm import mixture
+
+    df = spark.createDataFrame([(i, "a" if i % 5 else "b", 1 + i * 7 % 90) for i in range(4000)], "id long, source string, tokens long")
+    goal = spark.createDataFrame([("a", 0.7, 1), ("b", 0.3, 2)], "source string, peso double, max_repeticiones int")
+    want = sorted(map(tuple, mix_sources(df, "id", "tokens", ["source"], goal, seed=3, budget=100_000)[0].collect()))
+    monkeypatch.setattr(mixture, "CUT_ROWS", 5)
+    monkeypatch.setattr(mixture, "PARTS", 8)
+    got, report = mix_sources(df, "id", "tokens", ["source"], goal, seed=3, budget=100_000)
+    assert sorted(map(tuple, got.collect())) == want
+    assert {r["source"]: r["tokens"] for r in report.collect()} == pytest.approx({"a": 70_000, "b": 30_000}, abs=60)
+
+
+def test_shortage_goes_to_siblings_first(spark):
+    rows = [(i, "es", "x", 10) for i in range(10)] + [(100 + i, "es", "y", 10) for i in range(100)] + [(1000 + i, "en", "z", 10) for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, idioma string, source string, tokens long")
+    goal = spark.createDataFrame([("x", 0.5, 1), ("y", 0.2, 1), ("z", 0.3, 1)], "source string, peso double, max_repeticiones int")
+    report = mix_sources(df, "id", "tokens", ["idioma", "source"], goal, seed=1, budget=1000)[1]
+    assert {r["source"]: r["tokens"] for r in report.collect()} == {"x": 100, "y": 600, "z": 300}
+
+
 def test_tokens(spark):
     import base64
     import os
