@@ -1,69 +1,138 @@
-"""Offset intervals of the IANA zones, on the local clock, exploded by year."""
+"""Offset intervals of the IANA zones on the local clock, exploded by year or decade, for times of any year."""
 
 from __future__ import annotations
 
 import bisect
+import os
+import struct
 import zoneinfo
 from datetime import datetime, timedelta, timezone
 from functools import lru_cache
+from importlib import resources
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _UTC = timezone.utc
 _EPOCH = datetime(1970, 1, 1, tzinfo=_UTC)
+_EVER = 1 << 61
+_DAY_US = 86_400_000_000
+#: No zone changed its clock before the first year. After the last one the rules of a zone repeat; the 28 years up to it hold every kind of year.
+FIRST_YEAR, LAST_YEAR = 1840, 2130
+#: Outside these years intervals are kept by decade.
+BY_YEAR = (1970, 2039)
 
 
 def _offset_s(zone: zoneinfo.ZoneInfo, utc_s: int) -> int:
-    off = datetime.fromtimestamp(utc_s, zone).utcoffset()
+    off = (_EPOCH + timedelta(seconds=utc_s)).astimezone(zone).utcoffset()
     return off.days * 86400 + off.seconds
 
 
-def _intervals(name: str, first: int, last: int) -> list[tuple[int, int, int]]:
-    """(utc start, utc end, offset) in seconds; steps of two weeks, then a search for the second of the change."""
+def _file(name: str) -> bytes:
+    for folder in zoneinfo.TZPATH:
+        path = os.path.join(folder, *name.split("/"))
+        if os.path.isfile(path):
+            with open(path, "rb") as f:
+                return f.read()
+    return resources.files("tzdata").joinpath("zoneinfo", *name.split("/")).read_bytes()
+
+
+def _listed(raw: bytes) -> tuple[list[int], bool]:
+    """The instants of change that a TZif file (RFC 9636) lists, and whether a yearly rule follows them."""
+    counts = lambda at: struct.unpack(">6l", raw[at + 20 : at + 44])
+    utc, std, leap, times, types, chars = counts(0)
+    at, width = 0, 4
+    if raw[4:5] >= b"2":
+        at, width = 44 + times * 5 + types * 6 + chars + leap * 8 + std + utc, 8
+        utc, std, leap, times, types, chars = counts(at)
+    body = at + 44
+    changes = struct.unpack(f">{times}{'q' if width == 8 else 'l'}", raw[body : body + times * width])
+    footer = raw[body + times * (width + 1) + types * 6 + chars + leap * (width + 4) + std + utc :]
+    return list(changes), b"," in footer
+
+
+def _start(year: int) -> int:
+    return int((datetime(year, 1, 1, tzinfo=_UTC) - _EPOCH).total_seconds())
+
+
+def _intervals(name: str, raw: bytes) -> list[tuple[int, int, int]]:
+    """(utc start, utc end, offset) in seconds, from ever to the end of the last year."""
     zone = zoneinfo.ZoneInfo(name)
-    at = int((datetime(first, 1, 1, tzinfo=_UTC) - _EPOCH).total_seconds()) - 2 * 86400
-    end = int((datetime(last + 1, 1, 1, tzinfo=_UTC) - _EPOCH).total_seconds()) + 2 * 86400
-    out, start, off = [], at, _offset_s(zone, at)
-    while at < end:
-        nxt = min(at + 14 * 86400, end)
-        if _offset_s(zone, nxt) != off:
-            change = bisect.bisect_left(range(at, nxt), True, key=lambda s: _offset_s(zone, s) != off) + at
-            out.append((start, change, off))
-            start, off = change, _offset_s(zone, change)
-            at = change
-        else:
+    first, end = _start(FIRST_YEAR), _start(LAST_YEAR + 2)
+    changes, ruled = _listed(raw)
+    changes = [c for c in changes if first < c < end]
+    if ruled:
+        # A rule changes the clock at most once in three weeks; the second of the change is searched for.
+        at = max([first, *changes])
+        while at < end:
+            nxt, off = at + 21 * 86400, _offset_s(zone, at)
+            if _offset_s(zone, nxt) != off:
+                nxt = bisect.bisect_left(range(at, nxt), True, key=lambda s: _offset_s(zone, s) != off) + at
+                changes.append(nxt)
             at = nxt
-    out.append((start, end, off))
-    return out
+    out, start, off = [], -_EVER // 1_000_000, _offset_s(zone, first)
+    for c in sorted(set(changes)):
+        new = _offset_s(zone, c)
+        if new != off:
+            out.append((start, c, off))
+            start, off = c, new
+    return [*out, (start, end, off)]
+
+
+def _key_of(year: int) -> int:
+    return year if BY_YEAR[0] <= year <= BY_YEAR[1] else year // 10 * 10
 
 
 @lru_cache(maxsize=4)
-def _rows(zones: tuple[str, ...], first: int, last: int) -> pa.Table:
+def _rows(zones: tuple[str, ...]) -> pa.Table:
     known = zoneinfo.available_timezones()
-    names, years, intervals = [], [], []
+    names, keys, intervals = [], [], []
+    same: dict[bytes, dict[int, list]] = {}
+    year_of = lambda s: (_EPOCH + timedelta(seconds=s)).year
     for name in zones:
         if name not in known:
             continue
-        by_year: dict[int, list] = {}
-        for a, b, off in _intervals(name, first, last):
-            la, lb = a + off, b + off
-            y0 = (_EPOCH + timedelta(seconds=la)).year
-            y1 = (_EPOCH + timedelta(seconds=lb - 1)).year
-            for y in range(max(first, y0), min(last, y1) + 1):
-                by_year.setdefault(y, []).append({"from_us": la * 1_000_000, "to_us": lb * 1_000_000, "offset_us": off * 1_000_000})
-        names += [name] * len(by_year)
-        years += by_year
-        intervals += by_year.values()
+        raw = _file(name)
+        if raw not in same:
+            by_key: dict[int, list] = {}
+            for a, b, off in _intervals(name, raw):
+                la, lb = a + off, b + off
+                y0 = FIRST_YEAR if la < _start(FIRST_YEAR) else year_of(la)
+                for k in sorted({_key_of(y) for y in range(y0, min(LAST_YEAR, year_of(lb - 1)) + 1)}):
+                    by_key.setdefault(k, []).append({"from_us": la * 1_000_000, "to_us": lb * 1_000_000, "offset_us": off * 1_000_000})
+            same[raw] = by_key
+        names += [name] * len(same[raw])
+        keys += same[raw]
+        intervals += same[raw].values()
     one = pa.struct([("from_us", pa.int64()), ("to_us", pa.int64()), ("offset_us", pa.int64())])
-    return pa.table({"tz_zone": pa.array(names, pa.string()), "tz_year": pa.array(years, pa.int32()), "tz_intervals": pa.array(intervals, pa.list_(one))})
+    return pa.table({"tz_zone": pa.array(names, pa.string()), "tz_key": pa.array(keys, pa.int32()), "tz_intervals": pa.array(intervals, pa.list_(one))})
 
 
-def zone_offset_intervals(spark: SparkSession, zones: list[str] | None = None, first: int = 1970, last: int = 2040) -> DataFrame:
-    """One row for each zone and local year with the offset intervals that touch that year on the local clock.
+def zone_offset_intervals(spark: SparkSession, zones: list[str] | None = None) -> DataFrame:
+    """One row for each zone and ``tz_key`` (see :func:`interval_key`) with the offset intervals that touch it on the local clock.
 
-    ``zones`` None takes every zone of the IANA database: its size is a property of that database and of the
-    years (about 600 zones x 71 years), not of the data, so the table may be broadcast.
+    ``zones`` None takes every zone of the IANA database: its size is a property of that database (about 600 zones times
+    90 keys), not of the data or its years, so the table may be broadcast.
     """
     names = tuple(sorted(zones if zones is not None else zoneinfo.available_timezones()))
-    return spark.createDataFrame(_rows(names, first, last))
+    return spark.createDataFrame(_rows(names))
+
+
+def interval_key(local_us: Column) -> tuple[Column, Column]:
+    """The key of a local time, and the time to look for under it.
+
+    Times after LAST_YEAR are moved, by whole days, to the year of the last 28 that has the same days of the week; earlier
+    ones stay where they are, and those before FIRST_YEAR are under its decade.
+    """
+    year = F.year(F.date_from_unix_date(F.floor(local_us / F.lit(_DAY_US)).cast("int")))
+    kinds = {}
+    for y in range(LAST_YEAR - 27, LAST_YEAR + 1):
+        kinds.setdefault((datetime(y, 1, 1).isoweekday() % 7 + 1) * 2 + (y % 4 == 0), y)
+    leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
+    late = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
+    alike = F.when(year > LAST_YEAR, F.element_at(late, F.dayofweek(F.make_date(year, F.lit(1), F.lit(1))) * 2 + leap.cast("int"))).otherwise(year)
+    new_year = lambda y: F.unix_date(F.make_date(y, F.lit(1), F.lit(1))).cast("long")
+    moved = F.when(year > LAST_YEAR, local_us - (new_year(year) - new_year(alike)) * F.lit(_DAY_US)).otherwise(local_us)
+    y = F.greatest(alike, F.lit(FIRST_YEAR))
+    return F.when(y.between(*BY_YEAR), y).otherwise(F.floor(y / 10) * 10).cast("int"), moved

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lonja.functions.timezones import zone_offset_intervals
+from lonja.functions.timezones import interval_key, zone_offset_intervals
 
 # Month names of Spanish, English and German by number.
 MONTHS = {
@@ -75,13 +75,13 @@ def _int(c: Column) -> Column:
     return F.when(c.rlike(r"^\d{1,9}$"), c.try_cast("int"))
 
 
-def normalise_timestamps(df: DataFrame, id_col: str, value_col: str, zone_col: str, order_col: str, first_year: int = 1970, last_year: int = 2040) -> DataFrame:
+def normalise_timestamps(df: DataFrame, id_col: str, value_col: str, zone_col: str, order_col: str) -> DataFrame:
     """One row for each input row: ``id_col``, ``instant_us`` (long, microseconds since 1970-01-01 UTC) and ``status``.
 
     ``zone_col`` holds the IANA name of the clock the value was written by, ``order_col`` 'DMY' or 'MDY'. Any
     other column of ``df`` is ignored, whatever its name. ``status`` is 'ok', 'missing' (null, empty),
-    'unreadable' (no known writing, an impossible date, an unknown zone, years outside ``first_year`` to
-    ``last_year`` for local times), 'twice' or 'never'; ``instant_us`` is null unless 'ok'. Rows repeated in
+    'unreadable' (no known writing, an impossible date, an unknown zone), 'twice' or 'never'; ``instant_us`` is null unless
+    'ok'. Years are 1 to 9999. Rows repeated in
     the input are repeated in the result; an empty table gives an empty result. A null zone or order only
     matters to values that need it.
     """
@@ -106,7 +106,7 @@ def normalise_timestamps(df: DataFrame, id_col: str, value_col: str, zone_col: s
     leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
     longest = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
     hour = F.when((ap != "") & h0.between(1, 12), h0 % 12 + F.when(ap == "p", 12).otherwise(0)).when(ap == "", h0)
-    good = y.between(1800, 2200) & m.between(1, 12) & (d >= 1) & (d <= longest) & hour.between(0, 23) & F.col("mi").between(0, 59) & F.col("s").between(0, 59)
+    good = y.between(1, 9999) & m.between(1, 12) & (d >= 1) & (d <= longest) & hour.between(0, 23) & F.col("mi").between(0, 59) & F.col("s").between(0, 59)
     one = F.lit(1)
     days = F.unix_date(F.make_date(F.when(good, y).otherwise(2000), F.when(good, m).otherwise(one), F.when(good, d).otherwise(one)))
     clock = days.cast("long") * _DAY_US + (hour * 3600 + F.col("mi") * 60 + F.col("s")).cast("long") * _US + F.col("us")
@@ -124,12 +124,12 @@ def normalise_timestamps(df: DataFrame, id_col: str, value_col: str, zone_col: s
         F.when(good & ((z == "") | (F.instr(z, "/") > 0)), clock).otherwise(serial_us).alias("local_us"),
         F.when(F.instr(z, "/") > 0, z).otherwise(F.col("zone")).alias("tz_zone"),
     )
-    local_year = F.year(F.date_from_unix_date(F.floor(F.col("local_us") / F.lit(_DAY_US)).cast("int")))
-    src = src.withColumn("tz_year", F.when(F.col("abs_us").isNull(), local_year))
+    key, moved = interval_key(F.col("local_us"))
+    src = src.select("*", F.when(F.col("abs_us").isNull(), key).alias("tz_key"), moved.alias("moved_us"))
     # A table of the zone database, whatever the data: see zone_offset_intervals.
-    zones = F.broadcast(zone_offset_intervals(df.sparkSession, None, first_year, last_year))
-    got = src.join(zones, ["tz_zone", "tz_year"], "left")
-    hits = F.filter("tz_intervals", lambda i: (F.col("local_us") >= i["from_us"]) & (F.col("local_us") < i["to_us"]))
+    zones = F.broadcast(zone_offset_intervals(df.sparkSession))
+    got = src.join(zones, ["tz_zone", "tz_key"], "left")
+    hits = F.filter("tz_intervals", lambda i: (F.col("moved_us") >= i["from_us"]) & (F.col("moved_us") < i["to_us"]))
     got = got.select("id", "t", "abs_us", "local_us", "tz_intervals", hits.alias("hits"))
     resolved = F.coalesce(F.col("abs_us"), F.when(F.size("hits") == 1, F.col("local_us") - F.col("hits")[0]["offset_us"]))
     status = (

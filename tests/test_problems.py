@@ -40,6 +40,9 @@ CASES = [
     ("1738034921", BOG, "DMY", 1738034921 * 10**6),
     ("1738265804964", BOG, "DMY", 1738265804964 * 1000),
     ("45681", BOG, "DMY", us(2025, 1, 24, tz=BOG)),
+    ("1969-06-01", BOG, "DMY", us(1969, 6, 1, tz=BOG)), ("01/06/2041", BOG, "DMY", us(2041, 6, 1, tz=BOG)), ("2041-07-01 10:00", MAD, "DMY", us(2041, 7, 1, 10, tz=MAD)), ("1850-01-01", BOG, "DMY", us(1850, 1, 1, tz=BOG)),
+    ("1944-07-01 10:00", MAD, "DMY", us(1944, 7, 1, 10, tz=MAD)), ("2530-12-31 23:00", NYC, "MDY", us(2530, 12, 31, 23, tz=NYC)), ("2301-07-04 08:00", NYC, "MDY", us(2301, 7, 4, 8, tz=NYC)), ("1500-01-01", MAD, "DMY", us(1500, 1, 1, tz=MAD)),
+    ("2400-03-26 02:30:00", MAD, "DMY", "never"), ("2400-10-29 02:30:00", MAD, "DMY", "twice"), ("99999", BOG, "DMY", us(2173, 10, 13, tz=BOG)),
     ("2025-10-26 02:30:00", MAD, "DMY", "twice"),
     ("2025-03-30 02:30:00", MAD, "DMY", "never"),
     ("31/02/2025", BOG, "DMY", "unreadable"), ("2025-13-01", BOG, "DMY", "unreadable"), ("ayer", BOG, "DMY", "unreadable"), ("semana 14", BOG, "DMY", "unreadable"),
@@ -59,6 +62,23 @@ def test_timestamps(spark):
     assert normalise_timestamps(df.union(df), "id", "v", "z", "o").count() == 2 * len(CASES)
 
 
+def test_intervals_against_the_zone_database(spark):
+    rng, rows = random.Random(9), []
+    for name in (BOG, MAD, NYC, "America/Santiago", "Africa/Casablanca", "Australia/Lord_Howe", "Asia/Kathmandu", "UTC"):
+        for _ in range(60):
+            at = dt.datetime(rng.randint(1800, 2300), rng.randint(1, 12), rng.randint(1, 28), rng.randint(0, 23), rng.choice([0, 30]))
+            rows.append((len(rows), at.isoformat(sep=" ", timespec="seconds"), name, "DMY"))
+    got = {r["id"]: r for r in normalise_timestamps(spark.createDataFrame(rows, "id long, v string, z string, o string"), "id", "v", "z", "o").collect()}
+    for i, v, name, _ in rows:
+        local, zone = dt.datetime.fromisoformat(v), zoneinfo.ZoneInfo(name)
+        utc = {local.replace(tzinfo=zone, fold=f).astimezone(UTC) for f in (0, 1)}
+        real = {u for u in utc if u.astimezone(zone).replace(tzinfo=None) == local}
+        want = {0: "never", 1: "ok", 2: "twice"}[len(real)]
+        assert got[i]["status"] == want, (v, name)
+        if want == "ok":
+            assert got[i]["instant_us"] == (real.pop() - dt.datetime(1970, 1, 1, tzinfo=UTC)) // dt.timedelta(microseconds=1), (v, name)
+
+
 def deliveries(spark, rows):
     return spark.createDataFrame(rows, "id long, m string, t timestamp, key string, bucket int")
 
