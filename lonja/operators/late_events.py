@@ -15,33 +15,36 @@ from pyspark.sql import functions as F
 def event_instant_us(c: Column) -> Column:
     """Microseconds since 1970-01-01 UTC of an ISO 8601 writing that carries Z or an offset; null for anything else."""
     t = F.trim(c)
-    full = r"^(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2}:\d{2})(?:[.,](\d{1,9}))?\s*(Z|[+-]\d{2}:?\d{2})$"
-    piece = lambda k: F.regexp_extract(t, full, k)
-    day = F.try_to_date(piece(1), "yyyy-MM-dd")
-    h, m, sec = (F.substring(piece(2), k, 2).try_cast("int") for k in (1, 4, 7))
-    micros = F.substring(F.rpad(piece(3), 6, "0"), 1, 6).try_cast("int")
-    z = F.regexp_replace(piece(4), ":", "")
-    sign = F.when(F.substring(z, 1, 1) == "-", -1).otherwise(1)
-    off = F.when(z == "Z", 0).otherwise(sign * (F.substring(z, 2, 2).try_cast("int") * 3600 + F.substring(z, 4, 2).try_cast("int") * 60))
-    clock = F.unix_date(day).cast("long") * 86_400 + h * 3600 + m * 60 + sec
-    return F.when(t.rlike(full) & (h < 24) & (m < 60) & (sec < 60), (clock - off) * 1_000_000 + micros)
+    full = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d{1,9})?\s*(?:Z|[+-]\d{2}:?\d{2})$"
+    return F.when(t.rlike(full), F.unix_micros(F.translate(t, ",", ".").try_cast("timestamp")))
 
 
-def counter_states(events: DataFrame, period: str, group: str, source: str, sequence: str, amount: str) -> DataFrame:
-    """Cumulative states: one row for each period, group, source and version with ``total`` and ``records`` up to it.
+def counter_states(events: DataFrame, period: str, group: str, source: str, sequence: str, amount: str, counted: Column | None = None) -> DataFrame:
+    """Cumulative states: one row for each period, group, source and version with ``total`` and ``records`` of the counted
+    rows up to it, and ``others``, the number of the other rows.
 
     Rows of one version are summed before anything is sorted, so a period that holds a third of all rows costs
     one row for each source and version.
     """
-    one = events.groupBy(period, group, source, sequence).agg(F.sum(amount).alias("add"), F.count("*").alias("n"))
+    yes = F.lit(True) if counted is None else counted
+    one = events.groupBy(period, group, source, sequence).agg(F.sum(F.when(yes, F.col(amount))).alias("add"), F.count_if(yes).alias("n"), F.count_if(~yes).alias("m"))
     w = Window.partitionBy(period, group, source).orderBy(sequence).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return one.select(period, group, source, F.col(sequence).alias("version"), F.coalesce(F.sum("add").over(w), F.lit(0.0)).alias("total"), F.sum("n").over(w).alias("records"))
+    return one.select(period, group, source, F.col(sequence).alias("version"), F.coalesce(F.sum("add").over(w), F.lit(0.0)).alias("total"), F.sum("n").over(w).alias("records"), F.sum("m").over(w).alias("others"))
 
 
-def merge_states(states: DataFrame, period: str, group: str, source: str) -> DataFrame:
-    """The join of any states, repeated or in any order: greatest version of each source, then the sum of the sources."""
-    best = states.groupBy(period, group, source).agg(F.max(F.struct("version", "records", "total")).alias("__best"))
-    return best.groupBy(period, group).agg(F.sum("__best.total").alias("total"), F.sum("__best.records").alias("records"))
+def merge_states(states: DataFrame, period: str, group: str, source: str, early: Column | None = None) -> DataFrame:
+    """The join of any states, repeated or in any order: greatest version of each source, then the sum of the sources.
+
+    ``early`` picks versions whose join is given as well, as ``early_total`` and ``early_records``.
+    """
+    more = [c for c in ("others",) if c in states.columns]
+    best = [F.max(F.struct("version", "records", "total", *more)).alias("__best")]
+    if early is not None:
+        best.append(F.max(F.when(early, F.struct("version", "records", "total"))).alias("__early"))
+    out = [F.sum("__best.total").alias("total"), F.sum("__best.records").alias("records"), *[F.sum(f"__best.{c}").alias(c) for c in more]]
+    if early is not None:
+        out += [F.sum("__early.total").alias("early_total"), F.sum("__early.records").alias("early_records")]
+    return states.groupBy(period, group, source).agg(*best).groupBy(period, group).agg(*out)
 
 
 def late_corrected_sums(df: DataFrame, event_col: str, arrival_col: str, group_col: str, amount_col: str, source_col: str, sequence_col: str, period_s: int = 3600, grace_s: int = 600, cutoff_s: int = 86_400) -> DataFrame:
@@ -63,12 +66,11 @@ def late_corrected_sums(df: DataFrame, event_col: str, arrival_col: str, group_c
     delay = F.col("arrived") - (F.col("p") + 1) * F.lit(period_s * 1_000_000)
     # Phase 0: in time, 1: corrects, 2: after the cut-off. The phase leads the version: what arrives later is a later version.
     rows = rows.withColumn("phase", F.when(delay <= grace_s * 1_000_000, 0).when(delay <= cutoff_s * 1_000_000, 1).otherwise(2))
-    keys = ("p", "grupo", "source")
-    seen = rows.groupBy("p", "grupo").agg(F.count_if(F.col("phase") == 2).alias("n_fuera"))
-    states = counter_states(rows.filter("phase < 2").withColumn("ver", F.struct("phase", "seq")), "p", "grupo", "source", "ver", "amount")
-    early = merge_states(states.filter("version.phase = 0"), *keys).select("p", "grupo", F.col("total").alias("suma_inicial"), F.col("records").alias("n_inicial"))
-    final = merge_states(states, *keys).select("p", "grupo", F.col("total").alias("suma"), F.col("records").alias("n"))
-    out = seen.join(final, ["p", "grupo"], "left").join(early, ["p", "grupo"], "left")
+    states = counter_states(rows.withColumn("ver", F.struct("phase", "seq")), "p", "grupo", "source", "ver", "amount", F.col("phase") < 2)
+    out = merge_states(states, "p", "grupo", "source", F.col("version.phase") == 0)
     start = F.date_format(F.timestamp_seconds(F.col("p") * period_s), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    zero = lambda c, z: F.coalesce(F.col(c), F.lit(z)).alias(c)
-    return out.select(start.alias("periodo"), "grupo", zero("suma_inicial", 0.0), zero("n_inicial", 0), zero("suma", 0.0), zero("n", 0), (F.coalesce("n", F.lit(0)) - F.coalesce("n_inicial", F.lit(0))).alias("n_tarde"), "n_fuera")
+    early_n = F.coalesce("early_records", F.lit(0))
+    return out.select(
+        start.alias("periodo"), "grupo", F.coalesce("early_total", F.lit(0.0)).alias("suma_inicial"), early_n.alias("n_inicial"),
+        F.col("total").alias("suma"), F.col("records").alias("n"), (F.col("records") - early_n).alias("n_tarde"), F.col("others").alias("n_fuera"),
+    )

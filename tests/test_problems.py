@@ -4,12 +4,13 @@ import datetime as dt
 import random
 import zoneinfo
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lonja.operators.late_events import event_instant_us, late_corrected_sums, merge_states
 from lonja.operators.profiling import cumulative_curves, departing_loads, ks_distances, profile_loads, quantiles
-from lonja.operators.redelivery import kept_deliveries, repeated_deliveries
+from lonja.operators.redelivery import BloomFilter, DeliveryStore, kept_deliveries, repeated_deliveries
 from lonja.operators.timestamps import normalise_timestamps
 
 UTC = dt.timezone.utc
@@ -83,8 +84,8 @@ def deliveries(spark, rows):
     return spark.createDataFrame(rows, "id long, m string, t timestamp, key string, bucket int")
 
 
-@pytest.mark.parametrize("limit", [0, 1 << 27])
-def test_redelivery(spark, limit):
+@pytest.mark.parametrize("buckets", [32, 3])
+def test_redelivery(spark, buckets):
     rng, t0 = random.Random(5), dt.datetime(2026, 1, 1)
     ids = [f"{rng.getrandbits(128):032x}" for _ in range(300)]
     rows = []
@@ -99,12 +100,51 @@ def test_redelivery(spark, limit):
         k = "".join(c for c in (m or "").lower() if c in "0123456789abcdef")
         if k and first.setdefault(k, i) != i:
             gone.add(i)
-    got = repeated_deliveries(df, "id", "m", "t", max_filter_bytes=limit).collect()
+    got = repeated_deliveries(df, "id", "m", "t", max_buckets=buckets).collect()
     assert sorted(r["id"] for r in got) == sorted(gone)
-    assert kept_deliveries(df, "id", "m", "t", max_filter_bytes=limit).count() == len(rows) - len(gone) - (rows[5][0] in gone)
+    assert kept_deliveries(df, "id", "m", "t", max_buckets=buckets).count() == len(rows) - len(gone) - (rows[5][0] in gone)
     assert repeated_deliveries(df.limit(0), "id", "m", "t").count() == 0
 
 
+def test_redelivery_with_a_full_bucket_and_a_hot_message(spark):
+    t0 = dt.datetime(2026, 1, 1)
+    rows = [(i, f"{i:08x}", t0 if i % 2 else t0 + dt.timedelta(days=i % 31)) for i in range(1, 4001)]
+    rows += [(5000 + i, "ABCDEF", t0) for i in range(2000)] + [(8000, f"{17:08X}", t0 + dt.timedelta(days=40)), (8001, f"{18:08x}", None)]
+    df = spark.createDataFrame(rows, "id long, m string, t timestamp").repartition(3).withColumn("__kept", F.lit("clash")).withColumn("kept", F.lit(1))
+    want = {*range(5001, 7000), 8000, 8001}
+    assert {r["id"] for r in repeated_deliveries(df, "id", "m", "t").collect()} == want
+    kept = kept_deliveries(df, "id", "m", "t")
+    assert kept.columns == df.columns and {r["id"] for r in kept.collect()} == {r[0] for r in rows} - want
+
+
+def test_bloom_filter():
+    rng = np.random.default_rng(1)
+    h = rng.integers(-(2**63), 2**63 - 1, 5000)
+    f = BloomFilter(h)
+    assert len(f.hit(h)) == 5000 and len(f.hit(rng.integers(-(2**63), 2**63 - 1, 20000))) < 200 and len(f.hit(h, twice=True)) < 100
+    assert len(BloomFilter(np.r_[h, h[:10]]).hit(h[:10], twice=True)) == 10
+    assert len(BloomFilter.unpacked(f.packed()).hit(h)) == 5000 and BloomFilter.unpacked(f.packed()).mask == f.mask
+    # The work and the filter follow the rows.
+    assert len(BloomFilter(h[:50]).once) == 1024
+
+
+def test_a_new_batch_reads_matching_buckets_only(spark):
+    from lonja.sources.storage import scratch_dir
+
+    t0 = dt.datetime(2026, 1, 1)
+    store = DeliveryStore(spark, scratch_dir(spark), shards=4)
+    one = deliveries(spark, [(i, f"{i:06x}", t0 + dt.timedelta(days=i % 20), "k", 1) for i in range(1, 201)] + [(300, "00000A", t0, "k", 1)])
+    assert [tuple(r) for r in store.take(one, "id", "m", "t", 0).collect()] == [(300, 10)]
+    two = deliveries(spark, [(400, "{00000B}", t0 + dt.timedelta(days=50), "k", 1), (401, "ffff01", t0, "k", 1), (402, "FFFF01", t0, "k", 1), (403, None, t0, "k", 1)])
+    for _ in range(2):  # a batch that comes again changes nothing
+        assert sorted(tuple(r) for r in store.take(two, "id", "m", "t", 1).collect()) == [(400, 11), (402, 401)]
+    first_day = int(t0.replace(tzinfo=UTC).timestamp()) // 86400
+    assert first_day + 11 in store.read_buckets and len(store.read_buckets) <= 3
+    three = deliveries(spark, [(500, "ffff01", t0, "k", 1)])
+    assert [tuple(r) for r in store.take(three, "id", "m", "t", 2).collect()] == [(500, 401)]
+    assert store.take(deliveries(spark, []), "id", "m", "t", 3).count() == 0
+
+
 def test_late_events(spark):
     hour = "2026-01-31T05:10:00.500Z"
     at = dt.datetime(2026, 1, 31, 6, 0)
