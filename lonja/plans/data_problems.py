@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lonja.operators.late_events import late_corrected_sums
-from lonja.operators.profiling import departing_loads, profile_loads
+from lonja.operators.profiling import CHANCE, PATTERNS, SHIFT, departing_loads, profile_loads, shifted_loads
 from lonja.operators.redelivery import kept_deliveries, message_key, repeated_deliveries
 from lonja.operators.timestamps import normalise_timestamps
 from lonja.session import table
 
-PROFILED = {"total": "numeric", "cantidad": "numeric", "email_cliente": "email", "vendedor_id": "text"}
+PROFILED = {"total": "numeric", "cantidad": "numeric", "email_cliente": "email", "vendedor_id": "seller"}
 
 
 def _instants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile_loads(table(spark, sf_dir, "ventas_colombia_raw"), "carga_id", PROFILED)
+    return profile_loads(table(spark, sf_dir, "ventas_colombia_raw"), "carga_id", PROFILED).withColumn("ks", F.round("ks", 9))
+
+
+def p4_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loads whose values of a column are distributed otherwise than all others, nulls and odd forms aside."""
+    return shifted_loads(table(spark, sf_dir, "ventas_colombia_raw"), "carga_id", PROFILED).withColumn("ks", F.round("ks", 9))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +65,7 @@ def p6_hourly_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("periodo", "region", F.round("suma_inicial", 2).alias("suma_inicial"), "n_inicial", F.round("suma", 2).alias("suma"), "n", "n_tarde", "n_fuera")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_status, p4_found, p4_profile, p5_found, p5_kept, p6_found, p6_hourly_sales)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_status, p4_found, p4_profile, p4_shifts, p5_found, p5_kept, p6_found, p6_hourly_sales)}
 
 _KEY = "nullif(lower(regexp_replace(pedido_id, '[^0-9A-Fa-f]', '', 'g')), '')"
 _HOURS = f"""
@@ -80,7 +85,23 @@ hours AS (
 named AS (SELECT strftime(make_timestamp(p * 3600000000), '%Y-%m-%dT%H:%M:%SZ') AS periodo, * FROM hours)
 """
 
+_NUMERIC = ", ".join(f"'{c}'" for c, k in PROFILED.items() if k == "numeric")
+_CURVES = "WITH u AS (" + " UNION ALL ".join(f"SELECT carga_id, '{c}' AS columna, {c} AS valor, '{PATTERNS[k]}' AS patron FROM ventas_colombia_raw" for c, k in PROFILED.items()) + f"""),
+v AS (SELECT *, valor IS NULL OR trim(valor) = '' AS blanco, CASE WHEN columna IN ({_NUMERIC}) THEN TRY_CAST(valor AS DOUBLE) END AS x FROM u),
+c AS (SELECT carga_id, columna, x, CASE WHEN x IS NULL THEN valor END AS s, count(*) AS n FROM v WHERE CASE WHEN columna IN ({_NUMERIC}) THEN x IS NOT NULL AND NOT isnan(x) ELSE NOT blanco END GROUP BY ALL),
+g AS (SELECT l.carga_id, p.*, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT columna, x, s FROM c) p JOIN (SELECT DISTINCT carga_id, columna FROM c) l USING (columna) LEFT JOIN c ON c.columna = p.columna AND c.carga_id = l.carga_id AND c.x IS NOT DISTINCT FROM p.x AND c.s IS NOT DISTINCT FROM p.s),
+a AS (SELECT columna, x, s, sum(n) OVER (PARTITION BY columna ORDER BY x, s) AS k, sum(n) OVER (PARTITION BY columna) AS t FROM (SELECT columna, x, s, sum(n) AS n FROM c GROUP BY ALL)),
+f AS (SELECT g.carga_id, g.columna, sum(g.n) OVER w AS k, sum(g.n) OVER (PARTITION BY g.columna, g.carga_id) AS t, a.k AS ka, a.t AS ta FROM g JOIN a ON a.columna = g.columna AND a.x IS NOT DISTINCT FROM g.x AND a.s IS NOT DISTINCT FROM g.s WINDOW w AS (PARTITION BY g.columna, g.carga_id ORDER BY g.x, g.s)),
+d AS (SELECT carga_id, columna, max(CASE WHEN ta > t THEN abs(k / t - (ka - k) / (ta - t)) ELSE 0 END) AS ks, max(t) AS valores, max(ta - t) AS otros FROM f GROUP BY 1, 2)
+"""
+
 ORACLE_SQL = {
+    "p4_profile": _CURVES + """, q AS (SELECT carga_id, columna, min(x) AS minimo, quantile_disc(x, 0.25) AS q25, quantile_disc(x, 0.5) AS mediana, quantile_disc(x, 0.75) AS q75, max(x) AS maximo FROM v WHERE x IS NOT NULL AND NOT isnan(x) GROUP BY 1, 2)
+SELECT v.carga_id, v.columna, count(*) AS filas, count(*) FILTER (blanco) AS nulos, count(DISTINCT CASE WHEN NOT blanco THEN valor END) AS distintos, count(*) FILTER (NOT blanco AND NOT regexp_matches(valor, patron)) AS violaciones,
+  any_value(q.minimo) AS minimo, any_value(q25) AS q25, any_value(mediana) AS mediana, any_value(q75) AS q75, any_value(q.maximo) AS maximo,
+  min(CASE WHEN NOT blanco AND v.columna NOT IN (""" + _NUMERIC + """) THEN valor END) AS minimo_texto, max(CASE WHEN NOT blanco AND v.columna NOT IN (""" + _NUMERIC + """) THEN valor END) AS maximo_texto, any_value(round(ks, 9)) AS ks
+FROM v LEFT JOIN d ON d.carga_id = v.carga_id AND d.columna = v.columna LEFT JOIN q ON q.carga_id = v.carga_id AND q.columna = v.columna GROUP BY v.carga_id, v.columna""",
+    "p4_shifts": _CURVES + f"SELECT carga_id, columna, round(ks, 9) AS ks FROM d WHERE otros > 0 AND ks >= {SHIFT} AND ks > sqrt(ln(2 / {CHANCE}) / 2 * (1 / valores + 1 / otros))",
     "p5_found": f"SELECT entrega_id FROM (SELECT entrega_id, row_number() OVER (PARTITION BY {_KEY} ORDER BY entrega_id) AS r FROM pedidos_ventas WHERE {_KEY} IS NOT NULL) WHERE r > 1",
     "p5_kept": f"SELECT entrega_id, pedido_id FROM (SELECT entrega_id, pedido_id, {_KEY} AS k, row_number() OVER (PARTITION BY {_KEY} ORDER BY entrega_id) AS r FROM pedidos_ventas) WHERE k IS NULL OR r = 1",
     "p6_found": _HOURS + "SELECT periodo, region FROM named WHERE n_tarde > 0",

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lonja.operators.late_events import event_instant_us, late_corrected_sums, merge_states
-from lonja.operators.profiling import cumulative_curves, departing_loads, ks_distances, profile_loads, quantiles
+from lonja.operators.profiling import cumulative_curves, departing_loads, ks_distances, profile_loads, quantiles, shifted_loads
 from lonja.operators.redelivery import BloomFilter, DeliveryStore, kept_deliveries, repeated_deliveries
 from lonja.operators.timestamps import normalise_timestamps
 
@@ -178,7 +178,7 @@ def test_curves_against_brute_force(spark):
     rng = random.Random(1)
     data = [(c, load, float(rng.choice([0, 1, 2, 3, rng.randint(0, 500)]) + 5 * load)) for c in "ab" for load in range(4) for _ in range(200 if load else 5)]
     counts = spark.createDataFrame(data, "columna string, carga long, x double").groupBy("columna", "carga", "x").agg(F.count("*").alias("n"))
-    curves = cumulative_curves(counts, "x", ranges=7)
+    curves = cumulative_curves(counts, "x", partitions=7)
     ks = {(r["columna"], r["carga"]): r["ks"] for r in ks_distances(curves).collect()}
     q = {(r["columna"], r["carga"]): r for r in quantiles(curves, "x", {"m": 0.5}).collect()}
     for c in "ab":
@@ -212,7 +212,21 @@ def test_departing_loads(spark):
     assert departing_loads(df.filter("carga = 3"), "carga", ["total"]).count() == 0
     p = {(r["carga"], r["columna"]): r for r in profile_loads(df, "carga", {"total": "numeric", "correo": "email"}).collect()}
     assert p[3, "total"]["nulos"] == 48 and p[8, "total"]["nulos"] == 1 and p[5, "correo"]["violaciones"] == 0
-    assert p[6, "total"]["ks"] > 0.4 and p[5, "correo"]["ks"] is None
+    assert p[6, "total"]["ks"] > 0.4 and p[5, "correo"]["ks"] > 0.3 and p[5, "correo"]["maximo_texto"] == "nadie@x.test"
+
+
+def test_shifted_loads(spark):
+    rng = random.Random(3)
+    rows = [(load, str(rng.randint(20, 30 if load == 4 else 99)), f"{rng.randint(1, 9)}v") for load in range(1, 9) for _ in range(300)] + [(9, None, ""), (None, "50", "5v")]
+    df = spark.createDataFrame(rows, "carga long, total string, vendedor string").withColumn("columna", F.lit("clash"))
+    kinds = {"total": "numeric", "vendedor": "text"}
+    got = [(r["carga"], r["columna"], r["ks"]) for r in shifted_loads(df, "carga", kinds).collect()]
+    assert [x[:2] for x in got] == [(4, "total")] and got[0][2] > 0.8
+    # Nothing is rare in it, so it is no departure.
+    assert departing_loads(df, "carga", ["total", "vendedor"]).filter("carga = 4").count() == 0
+    p = {(r["carga"], r["columna"]): r for r in profile_loads(df, "carga", kinds).collect()}
+    assert p[4, "total"]["ks"] == pytest.approx(got[0][2]) and p[9, "total"]["ks"] is None and p[9, "vendedor"]["nulos"] == 1 and p[None, "total"]["mediana"] == 50.0
+    assert shifted_loads(df.limit(0), "carga", kinds).count() == 0 and profile_loads(df.limit(0), "carga", kinds).count() == 0
 
 
 def test_departing_loads_do_not_hide_each_other(spark):
