@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +31,8 @@ def get_session(app: str = "lonja", cpus: str | None = None, shuffle_partitions:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder set in spark.checkpoint.dir. Only where that is unset (tests, one machine) a temporary one is made."""
+    """The shared folder of spark.checkpoint.dir, or the one that the context has. A temporary folder of this machine is made
+    only where neither is set and the session runs on one machine (tests); it is removed at the end."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -37,7 +40,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(found)
         return found
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lonja-checkpoint-"))
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="lonja-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
 import uuid
 
 from pyspark.sql import SparkSession
@@ -11,10 +11,8 @@ from lonja.session import ensure_checkpoint_dir
 
 
 def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
-    """A new folder path under the shared checkpoint folder; under a temporary folder only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    root = ensure_checkpoint_dir(spark) if shared else tempfile.mkdtemp(prefix="lonja-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder path under the checkpoint folder (:func:`lonja.session.ensure_checkpoint_dir`)."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 class Files:
@@ -47,16 +45,35 @@ class Files:
         finally:
             stream.close()
 
+    def _rename_once(self, old, new) -> None:
+        """Fails if the new name is taken."""
+        hadoop = self._jvm.org.apache.hadoop.fs
+        plain = self._jvm.java.lang.reflect.Array.newInstance(self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
+        hadoop.FileContext.getFileContext(self.fs.getUri(), self.fs.getConf()).rename(old, new, plain)
+
     def create_once(self, p: str, text: str) -> bool:
-        """Writes a file that must not exist yet; False if another writer made it first."""
+        """Makes a file that must not exist yet, in one step and whole; False if another writer made it first.
+
+        The text is written aside and then given its name without overwriting: by a link on a local file system, else by a
+        rename, which is exclusive on file systems with atomic renames (not on plain object stores).
+        """
+        aside = self._path(f"{p}.{uuid.uuid4().hex}.tmp")
+        out = self.fs.create(aside, False)
         try:
-            out = self.fs.create(self._path(p), False)
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+        try:
+            if self.fs.getUri().getScheme() == "file":
+                os.link(aside.toUri().getPath(), self._path(p).toUri().getPath())
+            else:
+                self._rename_once(aside, self._path(p))
+        except FileExistsError:
+            return False
         except Exception as e:  # noqa: BLE001
             if "already exists" in str(e).lower() or "FileAlreadyExists" in str(e):
                 return False
             raise
-        try:
-            out.write(bytearray(text.encode()))
         finally:
-            out.close()
+            self.fs.delete(aside, False)
         return True

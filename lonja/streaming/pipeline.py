@@ -53,24 +53,53 @@ def run_available(stream: DataFrame, sink, checkpoint: str, mode: str = "update"
     return q
 
 
+def latest_by_id(orders: DataFrame) -> DataFrame:
+    """One row for each order id: the last message of it."""
+    rows = orders.filter("pedido_id is not null")
+    return rows.groupBy("pedido_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "pedido_id"]), F.struct("_kafka_partition", "_kafka_offset")).alias("r")).select("pedido_id", "r.*")
+
+
 def consume(spark: SparkSession, log: DataFrame, table: VersionedTable, committed: dict[int, int], batch: int, fail_after: Callable[[int], None] | None = None) -> dict[int, int]:
-    """At-least-once consumption: merge a batch, then move the offsets; a failure in between leaves them, so the batch comes again."""
+    """At-least-once consumption: merge a batch, then move the offsets; a failure in between leaves them, so the batch comes again.
+
+    A batch begins at the next message that a partition holds, wherever its log has gaps, and ends when none holds one.
+    """
     from lonja.sources.readers import offsets_to_commit, poll
 
     while True:
-        part = poll(log, committed, batch)
-        moves = offsets_to_commit(part).collect()  # a row for each partition of the topic
-        if not moves:
+        ahead = {r["partition"]: r["rewind"] for r in offsets_to_commit(poll(log, committed)).collect()}  # a row for each partition of the topic
+        if not ahead:
             return committed
-        rows = to_orders(part).filter("pedido_id is not null").withColumn("_ingested_at", F.current_timestamp())
-        last = rows.groupBy("pedido_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "pedido_id"]), F.struct("_kafka_partition", "_kafka_offset")).alias("r")).select("pedido_id", "r.*")
-        table.upsert(last, ["pedido_id"])
+        part = poll(log, {**committed, **ahead}, batch)
+        moves = offsets_to_commit(part).collect()
+        table.upsert(latest_by_id(to_orders(part).withColumn("_ingested_at", F.current_timestamp())), ["pedido_id"])
         for m in moves:
             if fail_after:
                 fail_after(m["commit"])
         committed = {**committed, **{m["partition"]: m["commit"] for m in moves}}
 
 
+def last_write_sink(table: VersionedTable, stream_id: str, after: Callable[[int], None] | None = None):
+    """A foreachBatch function for order messages: the last message of an order replaces its row, each batch once."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        table.upsert(latest_by_id(batch), ["pedido_id"], txn=(stream_id, batch_id))
+        if after:
+            after(batch_id)
+
+    return write
+
+
+def first_seen(stream: DataFrame, key: str, time: str, late: str) -> DataFrame:
+    """Rows whose key wasn't seen within the lateness allowed."""
+    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+
+
+def append_sink(table: VersionedTable, stream_id: str):
+    """A foreachBatch function that appends, each batch once."""
+    return lambda batch, batch_id: table.append(batch, txn=(stream_id, batch_id))
+
+
 def replay(events: DataFrame, order: str, commit_every: int, crash_at: int) -> DataFrame:
     """Deliveries of a consumer that commits every so often and crashes once: what came after the last commit comes twice.
 

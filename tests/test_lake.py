@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lonja.operators import quality, runner
-from lonja.sources.storage import scratch_dir
+from lonja.sources.storage import Files, scratch_dir
 from lonja.sources.versioned import CommitConflict, VersionedTable
 
 
@@ -55,27 +55,111 @@ def test_upsert_rewrites_only_touched_files(spark):
     t = VersionedTable(spark, scratch_dir(spark))
     t.append(frame(spark, [(1, "a")]).coalesce(1))
     t.append(frame(spark, [(2, "b")]).coalesce(1))
-    before = set(t._snapshot()[0])
+    before = set(t._state().files)
     t.upsert(frame(spark, [(2, "B")]), ["k"])
-    assert len(before & set(t._snapshot()[0])) == 1 and rows(t.read()) == [(1, "a"), (2, "B")]
+    assert len(before & set(t._state().files)) == 1 and rows(t.read()) == [(1, "a"), (2, "B")]
 
 
 def test_commit_is_exclusive(spark, monkeypatch):
     t = VersionedTable(spark, scratch_dir(spark))
     t.append(frame(spark, [(1, "a")]))
     assert not t.files.create_once(f"{t.log}/{0:020d}.json", "{}")
-    monkeypatch.setattr(t, "version", lambda: -1)
+    nothing = VersionedTable(spark, scratch_dir(spark))._state()
+    monkeypatch.setattr(t, "_state", lambda upto=None: nothing)
     with pytest.raises(CommitConflict):
         t.append(frame(spark, [(2, "b")]))
 
 
+def test_log_entries_appear_whole_and_once(spark):
+    files, folder = Files(spark, scratch_dir(spark)), scratch_dir(spark)
+    files.make(folder)
+    assert files.create_once(f"{folder}/a.json", "{}") and not files.create_once(f"{folder}/a.json", "[]")
+    assert files.names(folder) == ["a.json"] and files.read(f"{folder}/a.json") == "{}"
+    one, two = files._path(f"{folder}/one"), files._path(f"{folder}/two")
+    files.fs.create(one).close()
+    files._rename_once(one, two)
+    files.fs.create(one).close()
+    with pytest.raises(Exception, match="(?i)exist"):
+        files._rename_once(one, two)
+
+
+def test_a_batch_is_applied_once_by_rival_writers(spark, monkeypatch):
+    path, n = scratch_dir(spark), frame(spark, [(1, 2)], "k long, n long")
+    VersionedTable(spark, path).upsert(n, ["k"], accumulate=["n"], txn=("s", 0))
+    slow, real = VersionedTable(spark, path), VersionedTable._merge_files
+
+    def overtaken(self, *a):
+        monkeypatch.setattr(VersionedTable, "_merge_files", real)
+        VersionedTable(spark, path).upsert(n, ["k"], accumulate=["n"], txn=("s", 1))
+        return real(self, *a)
+
+    monkeypatch.setattr(VersionedTable, "_merge_files", overtaken)
+    slow.upsert(n, ["k"], accumulate=["n"], txn=("s", 1))
+    assert rows(slow.read()) == [(1, 4)] and slow.version() == 1
+
+
+def test_the_source_of_an_upsert_is_evaluated_once(spark):
+    from pyspark.sql.types import LongType
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        seen.add(1)
+        return x
+
+    source = frame(spark, [(k, k) for k in range(10)], "k long, n long").withColumn("n", F.udf(count, LongType())("n"))
+    t = VersionedTable(spark, scratch_dir(spark))
+    t.append(frame(spark, [(3, 0), (77, 0)], "k long, n long"))
+    t.upsert(source, ["k"], accumulate=["n"])
+    assert seen.value == 10 and t.read().count() == 11
+
+
+def test_snapshots_and_ranges_of_files(spark):
+    t = VersionedTable(spark, scratch_dir(spark), stats=["k"])
+    for v in range(12):
+        t.append(frame(spark, [(100 * v + i, str(v)) for i in range(3)]).coalesce(1))
+    assert t.files.names(t.log)[-3].endswith("10.snapshot") or any(n.endswith(".snapshot") for n in t.files.names(t.log))
+    opened = []
+    entry = t._entry
+    t._entry = lambda n: opened.append(n) or entry(n)
+    assert t.read().count() == 36 and len(opened) == 2
+    assert t.read(4).count() == 15 and t.history().count() == 12
+    assert len(t._may_hold(t._state().files, {"k": (250, 402)})) == 2 and rows(t.read(between={"k": (250, 401)})) == [(300, "3"), (301, "3"), (302, "3"), (400, "4"), (401, "4")]
+    # An upsert leaves files alone that can't hold its keys.
+    t._read_files, read = lambda names, schema: looked.append(len(names)) or read(names, schema), t._read_files
+    looked = []
+    t.upsert(frame(spark, [(500, "X")]), ["k"])
+    assert looked[:2] == [1, 1] and ("500", "X") in [(str(k), v) for k, v in rows(t.read())]
+
+
+def test_zorder_prunes_files(spark):
+    t = VersionedTable(spark, scratch_dir(spark))
+    t.append(spark.range(4000).select((F.col("id") * 7919 % 4000).alias("a"), (F.col("id") * 104729 % 3989).alias("b")))
+    t.optimize(16, ["a", "b"])
+    files = t._state().files
+    assert len(files) == 16
+    for c in "ab":
+        assert len(t._may_hold(files, {c: (100, 200)})) <= 9 and t.read(between={c: (100, 200)}).count() == t.read().filter(F.col(c).between(100, 200)).count()
+
+
+def test_consumer_passes_gaps(spark):
+    from lonja.streaming.pipeline import consume
+
+    log = [(f"o{p}-{o}", p, o) for p in (0, 1) for o in [*range(10), *range(1000 + 400 * p, 1010 + 400 * p)]]
+    df = spark.createDataFrame(log, "pedido_id string, partition int, offset long").select(
+        F.lit("k").alias("key"), F.to_json(F.struct("pedido_id")).cast("binary").alias("value"), F.lit("t").alias("topic"), "partition", "offset", F.current_timestamp().alias("timestamp"))
+    t = VersionedTable(spark, scratch_dir(spark))
+    assert consume(spark, df, t, {}, 300) == {0: 1010, 1: 1410} and t.read().count() == 40
+    assert consume(spark, df, t, {0: 1010, 1: 1410}, 300) == {0: 1010, 1: 1410}
+
+
 def test_optimize_keeps_rows(spark):
     t = VersionedTable(spark, scratch_dir(spark))
     df = spark.range(500).select("id", F.concat(F.lit("s"), F.col("id") % 7).alias("s"), F.when(F.col("id") % 5 > 0, F.rand(1)).alias("x"))
     t.append(df)
     want = rows(t.read())
     t.optimize(3, ["s", "x"])
-    assert rows(t.read()) == want and len(t._snapshot()[0]) <= 3
+    assert rows(t.read()) == want and len(t._state().files) <= 3
     t.overwrite(frame(spark, [(1, "a")]))
     assert rows(t.read()) == [(1, "a")] and rows(t.read(1)) == want
 
