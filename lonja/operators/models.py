@@ -7,15 +7,32 @@ from pyspark.sql import functions as F
 
 
 def full_orders(orders: DataFrame, customers: DataFrame, products: DataFrame) -> DataFrame:
-    """Each order as one document: customer and items in their order, at the price that was paid."""
-    items = orders.select("pedido_id", F.posexplode("items").alias("pos", "i"))
+    """Each order row as one document: customer and items in their order, at the price that was paid. Rows that share an
+    id stay apart; equal rows are one."""
+    rows = orders.distinct().withColumn("__row", F.sha2(F.to_json(F.struct(*orders.columns)), 256))
+    items = rows.select("__row", F.posexplode("items").alias("pos", "i"))
     named = items.join(products.select("producto_id", "nombre"), items["i.producto_id"] == products["producto_id"], "left")
-    lists = named.groupBy("pedido_id").agg(F.sort_array(F.collect_list(F.struct("pos", F.col("i.producto_id").alias("producto_id"), F.col("nombre"), F.col("i.cantidad").alias("cantidad"), F.col("i.precio_unit").alias("precio_unit")))).alias("l"))
+    lists = named.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("pos", F.col("i.producto_id").alias("producto_id"), F.col("nombre"), F.col("i.cantidad").alias("cantidad"), F.col("i.precio_unit").alias("precio_unit")))).alias("l"))
     who = customers.select(F.col("cliente_id"), F.col("nombre").alias("cliente"))
-    return orders.drop("items").join(lists, "pedido_id", "left").join(who, "cliente_id", "left").select(
+    return rows.drop("items").join(lists, "__row", "left").join(who, "cliente_id", "left").select(
         "pedido_id", "fecha", "region", F.struct("cliente_id", "cliente").alias("cliente"), F.transform("l", lambda x: x.dropFields("pos")).alias("items"), "total")
 
 
+def load_models(orders: DataFrame, customers: DataFrame, products: DataFrame, path: str) -> dict[str, str]:
+    """Writes the derived tables of all four models anew and returns their folders: order documents, sales by region and day
+    and orders by customer (each row once, in the order they are read in), a sorted set of units, and purchase edges."""
+    rows = orders.filter("pedido_id is not null").distinct()
+    made = {
+        "documentos": full_orders(rows, customers, products),
+        "region_dia": rows.select("region", F.substring("fecha", 1, 10).alias("dia"), "fecha", "pedido_id", "total").repartition("region", "dia").sortWithinPartitions("region", "dia", F.desc("fecha"), F.desc("pedido_id")),
+        "por_cliente": rows.select("cliente_id", "fecha", "pedido_id", "total").filter("cliente_id is not null").repartition("cliente_id").sortWithinPartitions("cliente_id", F.desc("fecha"), F.desc("pedido_id")),
+        "ranking": units_by_product(rows), "compras": edges(rows),
+    }
+    for name, df in made.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    return {name: f"{path}/{name}" for name in made}
+
+
 def region_day(orders: DataFrame, region: str, day: str, last: int = 5) -> DataFrame:
     """Orders, their sum and the latest ids of a region on a day, in one row."""
     hit = orders.filter((F.col("region") == region) & F.col("fecha").startswith(day))

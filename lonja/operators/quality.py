@@ -32,13 +32,18 @@ def check_positive(df: DataFrame, column: str) -> None:
 
 
 def check_cardinality(df: DataFrame, column: str, most: int) -> int:
-    """More distinct values than ``most`` is a warning only."""
+    """More distinct values than ``most`` is a warning only, which shows the commonest of them."""
     n = df.agg(F.count_distinct(column)).first()[0]
     if n > most:
-        log.warning("%s has %d values, more than %d", column, n, most)
+        shown = [r["valor"] for r in value_counts(df, column).orderBy(F.desc("n"), "valor").limit(20).collect()]
+        log.warning("%s has %d values, more than %d: %s", column, n, most, shown)
     return n
 
 
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    return df.groupBy(F.col(column).alias("valor")).agg(F.count("*").alias("n"))
+
+
 def dirt_report(df: DataFrame, id_col: str, amount_col: str, business: list[str]) -> DataFrame:
     """Nulls and repeated rows that a raw layer must still hold, in one row."""
     amount = F.col(amount_col)

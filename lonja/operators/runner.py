@@ -8,7 +8,10 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from lonja.sources.storage import Files
+from lonja.sources.versioned import VersionedTable
 
 
 class Skip(Exception):
@@ -60,6 +63,25 @@ def backfill(tasks: list[Task], first: str, last: str, **options) -> list[Run]:
     return out
 
 
+def require_table(spark: SparkSession, path: str) -> None:
+    """Skips a task, and those after it, while the versioned table it reads isn't there."""
+    if not VersionedTable.exists(spark, path):
+        raise Skip(f"no table at {path}")
+
+
+def scanned(df: DataFrame) -> dict:
+    """Runs a query and tells rows, files and bytes: of all the files behind it, and read by its scans after pruning."""
+    rows = df.count()
+    listed = df.inputFiles()
+    sizes = [Files(df.sparkSession, f).length(f) for f in listed]
+    return {"rows": rows, "files": len(listed), "bytes": sum(sizes)}
+
+
+def explained(df: DataFrame) -> str:
+    """The formatted physical plan."""
+    return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+
 def timed(make: Callable[[], DataFrame], repeat: int = 3) -> dict:
     """Median seconds of full evaluations, written to a sink that discards rows."""
     took = []

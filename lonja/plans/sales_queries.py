@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lonja.functions import values as V
 from lonja.operators import medallion as M
-from lonja.operators import models, text_stats
+from lonja.operators import models, quality, text_stats
+from lonja.operators.joins import asof_join, band_join
 from lonja.operators.quality import dirt_report, null_report
 from lonja.session import table
 
@@ -42,7 +43,9 @@ def _sales(spark: SparkSession, d: str) -> DataFrame:
 
 
 _SALES = "orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
-_KPI = "round({m}, 2) AS ventas_totales, count(o_orderkey) AS num_pedidos, round({m} / count(o_totalprice), 6) AS ticket_promedio, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END), 4) AS tasa_devolucion".format(m=MONEY.format("o_totalprice"))
+# The mean to two decimals in whole cents, ties up; for sums that aren't negative.
+MEAN = "CAST((2 * CAST(100 * sum(CAST({0} AS DECIMAL(18,2))) AS HUGEINT) + count({0})) // (2 * count({0})) AS DOUBLE) / 100"
+_KPI = "round({m}, 2) AS ventas_totales, count(o_orderkey) AS num_pedidos, {t} AS ticket_promedio, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END), 4) AS tasa_devolucion".format(m=MONEY.format("o_totalprice"), t=MEAN.format("o_totalprice"))
 
 
 # -- aggregates -----------------------------------------------------------------------------------------------------
@@ -181,9 +184,30 @@ def agg22_rollup(spark, d):
     return table(spark, d, ITEM).rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
+def agg22_grouping_sets(spark, d):
+    g = [["l_returnflag"], ["l_linestatus"], []]
+    return table(spark, d, ITEM).groupingSets([[F.col(c) for c in s] for s in g], "l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderpriority, round(sum(o_totalprice * o_totalprice) / sum(o_totalprice), 0) AS media FROM orders GROUP BY 1")
+def agg22_weighted_mean(spark, d):
+    """An aggregate that no built-in function is: sums by partition in Arrow batches, merged by built-in ones, so that a group of any size is never in one task."""
+
+    def sums(frames):
+        for pdf in frames:
+            g = pdf.assign(xx=pdf["o_totalprice"] ** 2).groupby("o_orderpriority", as_index=False, dropna=False)[["xx", "o_totalprice"]].sum()
+            yield g.rename(columns={"o_totalprice": "x"})[["o_orderpriority", "xx", "x"]]
+
+    parts = table(spark, d, ORD).select("o_orderpriority", "o_totalprice").mapInPandas(sums, "o_orderpriority string, xx double, x double")
+    return parts.groupBy("o_orderpriority").agg(F.round(F.sum("xx") / F.sum("x"), 0).alias("media"))
+
+
+@query("SELECT l_returnflag, true AS cerca FROM lineitem GROUP BY 1")
 def agg22_approx_distinct(spark, d):
-    return table(spark, d, ITEM).groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("aprox"))
+    """The approximate count within five standard errors of the exact one."""
+    n = F.approx_count_distinct("l_partkey", 0.02), F.count_distinct("l_partkey")
+    return table(spark, d, ITEM).groupBy("l_returnflag").agg((F.abs(n[0] - n[1]) <= 0.1 * n[1]).alias("cerca"))
 
 
 # -- projections and filters ------------------------------------------------------------------------------------------
@@ -300,6 +324,28 @@ def jn7_full_outer(spark, d):
     return c.join(p, c["cliente_id"] == p["de"], "full_outer").select("cliente_id", "pedido_id")
 
 
+@query("SELECT l.event_id AS event_id, r.value AS asof_value FROM (SELECT * FROM events WHERE event_type = 'purchase') l ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'view' GROUP BY 1, 2) r ON l.user_id = r.user_id AND l.ts >= r.ts")
+def jn7_asof(spark, d):
+    """Each purchase with the last view of its user."""
+    e = table(spark, d, "events")
+    left, right = e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts"), e.filter("event_type = 'view'").select("user_id", "ts", "value")
+    return asof_join(left, right, ["user_id"], "ts", "ts", ["value"]).select("event_id", "asof_value")
+
+
+@query("SELECT c_custkey, b.id AS banda FROM customer JOIN (SELECT range AS id, -1000.0 + 500 * range AS desde, -1000.0 + 500 * range + 700 AS hasta FROM range(23)) b ON c_acctbal >= desde AND c_acctbal < hasta")
+def jn7_bands(spark, d):
+    """Customers with every band their balance lies in; bands overlap."""
+    low = F.lit(-1000.0) + 500 * F.col("id")
+    bands = spark.range(23).select(F.col("id").alias("banda"), low.alias("desde"), (low + 700).alias("hasta"))
+    return band_join(table(spark, d, "customer").select("c_custkey", "c_acctbal"), bands, "c_acctbal", "desde", "hasta", 700.0).select("c_custkey", "banda")
+
+
+@query("SELECT p.pedido_id AS pedido_id, c.nombre AS nombre FROM clientes c RIGHT JOIN pedidos p ON c.cliente_id = p.cliente_id")
+def jn7_right_outer(spark, d):
+    c, p = table(spark, d, "clientes").select("cliente_id", "nombre"), table(spark, d, "pedidos").select("pedido_id", F.col("cliente_id").alias("de"))
+    return c.join(p, c["cliente_id"] == p["de"], "right_outer").select("pedido_id", "nombre")
+
+
 # -- duplicates, windows, sorting, limits, sets --------------------------------------------------------------------------
 @query("SELECT DISTINCT pedido_id, cliente_id, fecha, total FROM pedidos")
 def ded1_exact_rows(spark, d):
@@ -375,6 +421,12 @@ def smp1_seeded_keys(spark, d):
     return models.sample_keys(table(spark, d, "clientes"), "cliente_id", 7, 5)
 
 
+@query("SELECT par FROM (SELECT DISTINCT region || '|' || substr(fecha, 1, 10) AS par FROM pedidos WHERE region IS NOT NULL AND fecha IS NOT NULL) ORDER BY md5(par || ':7'), par LIMIT 3")
+def smp1_region_days(spark, d):
+    pairs = table(spark, d, "pedidos").filter("region is not null and fecha is not null").select(F.concat_ws("|", "region", V.day_of_iso(F.col("fecha"))).alias("par"))
+    return models.sample_keys(pairs, "par", 7, 3)
+
+
 @query("SELECT region FROM clientes UNION ALL SELECT region FROM pedidos")
 def set1_concat(spark, d):
     return table(spark, d, "clientes").select("region").unionByName(table(spark, d, "pedidos").select("region"))
@@ -510,12 +562,14 @@ def hsh1_fingerprint(spark, d):
     return table(spark, d, "clientes").select("cliente_id", V.fingerprint(F.col("cliente_id").cast("string"), F.col("nombre")).alias("huella"))
 
 
-@query("SELECT count(*) AS filas FROM pedidos")
+KEY_PARTITION = "coalesce(CAST(('0x' || substr(md5({}), 1, 8)) AS BIGINT) % 4, 0)::INT"
+
+
+@query(f"SELECT region, {KEY_PARTITION.format('region')} AS particion, count(*) AS n FROM pedidos GROUP BY 1, 2")
 def hsh2_key_partitions(spark, d):
     from lonja.sources.sinks import broker_partition
 
-    p = table(spark, d, "pedidos").groupBy(broker_partition(F.col("region"), 4).alias("p")).agg(F.count("*").alias("n"))
-    return p.agg(F.sum("n").alias("filas"))
+    return table(spark, d, "pedidos").groupBy("region", broker_partition(F.col("region"), 4).alias("particion")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT count(*) AS filas, true AS con_archivo FROM clientes")
@@ -530,23 +584,73 @@ def dq4_still_dirty(spark, d):
     return dirt_report(table(spark, d, RAW), "pedido_id", "total", M.BUSINESS)
 
 
-@query("SELECT o_orderstatus, count(*) AS filas, count(*) FILTER (o_totalprice <= 0) AS no_positivos, count(DISTINCT o_orderpriority) AS canales FROM orders GROUP BY 1")
-def dq1_dq3_one_pass(spark, d):
-    return table(spark, d, ORD).groupBy("o_orderstatus").agg(F.count("*").alias("filas"), F.count_if(F.col("o_totalprice") <= 0).alias("no_positivos"), F.count_distinct("o_orderpriority").alias("canales"))
+_GATES = " UNION ALL ".join(f"SELECT 'nulos' AS puerta, '{c}' AS columna, count(*) FILTER ({c} IS NULL OR {c} = '') > 0.05 * count(*) AS falla FROM ventas_colombia_raw" for c in _COLS)
 
 
-@query()
+@query(_GATES + " UNION ALL SELECT 'positivos', 'total', count(*) FILTER (TRY_CAST(total AS DOUBLE) <= 0) > 0 FROM ventas_colombia_raw UNION ALL SELECT 'positivos', 'o_totalprice', count(*) FILTER (o_totalprice <= 0) > 0 FROM orders UNION ALL SELECT 'cardinalidad', 'o_orderpriority', count(DISTINCT o_orderpriority) > 4 FROM orders UNION ALL SELECT 'cardinalidad', 'o_orderstatus', count(DISTINCT o_orderstatus) > 4 FROM orders")
+def dq1_dq3_gates(spark, d):
+    """What each gate says of the raw and the clean tables."""
+    raw, o = table(spark, d, RAW), table(spark, d, ORD)
+
+    def fails(gate) -> bool:
+        try:
+            return gate() is False
+        except ValueError:
+            return True
+
+    said = [("nulos", c, fails(lambda c=c: quality.check_critical_nulls(raw, [c]))) for c in _COLS]
+    said += [("positivos", "total", fails(lambda: quality.check_positive(raw.withColumn("total", V.number(F.col("total"))), "total"))), ("positivos", "o_totalprice", fails(lambda: quality.check_positive(o, "o_totalprice")))]
+    said += [("cardinalidad", c, fails(lambda c=c: quality.check_cardinality(o, c, 4) <= 4)) for c in ("o_orderpriority", "o_orderstatus")]
+    return spark.createDataFrame(said, "puerta string, columna string, falla boolean")
+
+
+@query("SELECT metodo_pago AS valor, count(*) AS n FROM ventas_colombia_raw GROUP BY 1")
+def dq5_values(spark, d):
+    """The values behind a cardinality, with their rows."""
+    return quality.value_counts(table(spark, d, RAW), "metodo_pago")
+
+
+def _aliases(spark, d, name: str) -> dict[str, str]:
+    """Aliases of a reference list, which is small and fixed, by the names that people use."""
+    ref = table(spark, d, name).select("ref_id", "nombre", F.explode(F.concat(F.array("nombre", "codigo"), F.coalesce("otros_nombres", F.array().cast("array<string>")))).alias("alias"))
+    return {r["alias"]: r["nombre"] for r in ref.filter("alias is not null").orderBy(F.desc("ref_id")).collect()}
+
+
+def _silver(spark, d) -> DataFrame:
+    return M.to_silver(table(spark, d, RAW), _aliases(spark, d, "regiones_ref"), _aliases(spark, d, "canales_ref"))
+
+
+_DAYS = ["%Y-%m-%d", "%Y/%m/%d", "%d-%m-%Y", "%d/%m/%Y", "%m/%d/%Y"]
+_SHAPES = [r"^\d{4}-\d{2}-\d{2}$", r"^\d{4}/\d{2}/\d{2}$", r"^\d{2}-\d{2}-\d{4}$", r"^\d{2}/\d{2}/\d{4}$", r"^\d{2}/\d{2}/\d{4}$"]
+_DATED = "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(fecha, '{r}') THEN CAST(try_strptime(fecha, '{p}') AS DATE) END" for p, r in zip(_DAYS, _SHAPES)) + ")"
+_REST = "region canal categoria producto cantidad precio_unit vendedor_id email_cliente email_valido metodo_pago devuelto calificacion".split()
+_SILVER = f"""
+WITH one AS (SELECT DISTINCT {_B} FROM ventas_colombia_raw),
+typed AS (SELECT *, TRY_CAST(cantidad AS DOUBLE) AS q, TRY_CAST(precio_unit AS DOUBLE) AS p, {_DATED} AS dia, {_KEY.format("region")} AS rk, {_KEY.format("canal")} AS ck FROM one),
+""" + ", ".join(f"{t}_a AS (SELECT k, arg_min(nombre, ref_id) AS nombre FROM (SELECT ref_id, nombre, {_KEY.format('a')} AS k FROM (SELECT ref_id, nombre, unnest([nombre, codigo] || coalesce(otros_nombres, [])) AS a FROM {t}) WHERE a IS NOT NULL) GROUP BY 1)" for t in ("regiones_ref", "canales_ref")) + r""",
+clean AS (SELECT pedido_id, dia AS fecha, coalesce(r.nombre, 'OTRO') AS region, coalesce(c.nombre, 'otro_canal') AS canal, categoria, producto, CAST(trunc(q) AS INT) AS cantidad, p AS precio_unit, round(q * p, 2) AS total_silver,
+  regexp_extract(vendedor_id, '(\d+)', 1) AS vendedor_id, email_cliente, regexp_matches(email_cliente, '^[^@\s]+@[^@\s]+\.[^@\s]+$') AS email_valido, metodo_pago, devuelto, calificacion
+  FROM typed LEFT JOIN regiones_ref_a r ON rk = r.k LEFT JOIN canales_ref_a c ON ck = c.k WHERE q > 0 AND p > 0 AND pedido_id IS NOT NULL AND dia IS NOT NULL),
+silver AS (SELECT * FROM clean QUALIFY row_number() OVER (PARTITION BY pedido_id ORDER BY """ + ", ".join(f"{c} DESC NULLS LAST" for c in ["fecha", "total_silver", *_REST]) + """) = 1)
+"""
+
+
+@query(_SILVER + "SELECT * FROM silver")
 def silver_rows(spark, d):
-    return M.to_silver(table(spark, d, RAW))
+    return _silver(spark, d)
+
+
+@query(_SILVER + f"SELECT region, fecha, round({MONEY.format('total_silver')}, 2) AS ventas_totales, count(pedido_id) AS num_pedidos, {MEAN.format('total_silver')} AS ticket_promedio, round(avg(CASE WHEN devuelto = 'True' THEN 1.0 ELSE 0.0 END), 4) AS tasa_devolucion, {MEAN.format('TRY_CAST(calificacion AS DOUBLE)')} AS calificacion_promedio FROM silver GROUP BY 1, 2")
+def agg3_gold_kpis(spark, d):
+    return M.sales_kpis(_silver(spark, d), ["region", "fecha"], "total_silver", "pedido_id", F.col("devuelto") == "True", V.number(F.col("calificacion")))
 
 
 # -- models -------------------------------------------------------------------------------------------------------------
-@query("SELECT p.pedido_id AS pedido_id, c.nombre AS cliente, u.pos AS pos, u.i.producto_id AS producto_id, pr.nombre AS nombre, u.i.precio_unit AS precio_unit FROM (SELECT * FROM (SELECT DISTINCT * FROM pedidos WHERE pedido_id IS NOT NULL) QUALIFY count(*) OVER (PARTITION BY pedido_id) = 1) p LEFT JOIN clientes c ON p.cliente_id = c.cliente_id, LATERAL (SELECT unnest(p.items) AS i, unnest(range(1, len(p.items) + 1)) AS pos) u LEFT JOIN productos pr ON u.i.producto_id = pr.producto_id")
+@query("SELECT p.pedido_id AS pedido_id, p.fecha AS fecha, c.nombre AS cliente, u.pos AS pos, u.i.producto_id AS producto_id, pr.nombre AS nombre, u.i.precio_unit AS precio_unit FROM (SELECT DISTINCT * FROM pedidos WHERE pedido_id IS NOT NULL) p LEFT JOIN clientes c ON p.cliente_id = c.cliente_id, LATERAL (SELECT unnest(p.items) AS i, unnest(range(1, len(p.items) + 1)) AS pos) u LEFT JOIN productos pr ON u.i.producto_id = pr.producto_id")
 def q1_full_order(spark, d):
-    p = table(spark, d, "pedidos").filter("pedido_id is not null").distinct()
-    single = p.groupBy("pedido_id").count().filter("count = 1").select("pedido_id")
-    docs = models.full_orders(p.join(single, "pedido_id", "left_semi"), table(spark, d, "clientes"), table(spark, d, "productos"))
-    return docs.select("pedido_id", F.col("cliente.cliente").alias("cliente"), F.posexplode("items").alias("k", "i")).select("pedido_id", "cliente", (F.col("k") + 1).cast("long").alias("pos"), "i.producto_id", "i.nombre", "i.precio_unit")
+    p = table(spark, d, "pedidos").filter("pedido_id is not null")
+    docs = models.full_orders(p, table(spark, d, "clientes"), table(spark, d, "productos"))
+    return docs.select("pedido_id", "fecha", F.col("cliente.cliente").alias("cliente"), F.posexplode("items").alias("k", "i")).select("pedido_id", "fecha", "cliente", (F.col("k") + 1).cast("long").alias("pos"), "i.producto_id", "i.nombre", "i.precio_unit")
 
 
 _DAY = "(SELECT min(substr(fecha, 1, 10)) FROM pedidos WHERE region = 'Bogotá')"
@@ -574,17 +678,13 @@ def q4_recommendations(spark, d):
     return models.recommendations(models.edges(table(spark, d, "pedidos")), _first_client(spark, d))
 
 
-@query("SELECT region, count(*) AS entregas, count(DISTINCT lower(regexp_replace(pedido_id, '[^0-9A-Fa-f]', '', 'g'))) AS pedidos FROM pedidos_ventas GROUP BY 1")
+@query("WITH k AS (SELECT *, nullif(lower(regexp_replace(pedido_id, '[^0-9A-Fa-f]', '', 'g')), '') AS k FROM pedidos_ventas) SELECT producto, sum(cantidad)::BIGINT AS unidades FROM (SELECT * FROM k WHERE k IS NOT NULL QUALIFY row_number() OVER (PARTITION BY k ORDER BY entrega_id) = 1) GROUP BY 1")
 def q5_stream_once(spark, d):
-    from lonja.operators.redelivery import message_key
-
-    return table(spark, d, "pedidos_ventas").groupBy("region").agg(F.count("*").alias("entregas"), F.count_distinct(message_key(F.col("pedido_id"))).alias("pedidos"))
-
+    """Units by product, each delivered order counted once."""
+    from lonja.operators.redelivery import kept_deliveries, message_key
 
-@query(f"SELECT producto_id, unidades + unidades AS unidades FROM ({ORACLE_SQL['agg12_units_by_product']})")
-def mrg4_accumulate(spark, d):
-    u = models.units_by_product(table(spark, d, "pedidos"))
-    return models.accumulate_scores(u, u, "producto_id", "unidades")
+    known = table(spark, d, "pedidos_ventas").filter(message_key(F.col("pedido_id")).isNotNull())
+    return kept_deliveries(known, "entrega_id", "pedido_id", "kafka_time").groupBy("producto").agg(F.sum("cantidad").cast("long").alias("unidades"))
 
 
 @query(f"SELECT (SELECT count(DISTINCT cliente_id) FROM clientes) AS clientes, (SELECT count(*) FROM productos) AS productos, (SELECT count(*) FROM ({ORACLE_SQL['agg13_edges']})) AS aristas")

@@ -35,6 +35,9 @@ class Files:
     def names(self, p: str) -> list[str]:
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self._path(p))) if self.exists(p) else []
 
+    def length(self, p: str) -> int:
+        return self.fs.getFileStatus(self._path(p)).getLen()
+
     def sizes(self, p: str) -> dict[str, int]:
         return {s.getPath().getName(): s.getLen() for s in self.fs.listStatus(self._path(p))}
 
