@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lonja.operators.medallion import BUSINESS, to_bronze
-from lonja.session import table
-from lonja.sources import readers, sinks
+from lonja.operators.models import load_models, units_by_product
+from lonja.operators.runner import explained, scanned
+from lonja.plans.sales_queries import KEY_PARTITION
+from lonja.session import reliable_checkpoint, table
+from lonja.sources import generators, readers, sinks
 from lonja.sources.storage import scratch_dir
 from lonja.sources.versioned import VersionedTable
 from lonja.streaming import pipeline as S
@@ -102,17 +107,8 @@ def src15_poll_from_offsets(spark, d):
     return readers.poll(_messages(spark, d), {0: 100, 1: 50}).select("partition", "offset")
 
 
-@query("SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderdate < TIMESTAMP '1995-07-01' GROUP BY 1")
-def snk4_partition_overwrite(spark, d):
-    path = scratch_dir(spark, "days")
-    o = table(spark, d, "orders").filter("o_orderdate < timestamp_ntz '1995-07-01'").withColumn("mes", F.date_format("o_orderdate", "yyyy-MM"))
-    sinks.overwrite_partitions(o, path, "mes")
-    sinks.overwrite_partitions(o.filter("mes = '1995-03'"), path, "mes")  # written again, the others stay
-    return spark.read.parquet(path).groupBy("o_orderpriority").agg(F.count("*").alias("n"))
-
-
 @query("SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1")
-def snk4_all_months(spark, d):
+def snk4_partition_overwrite(spark, d):
     """The partition overwrite over every month: one is written again, all the others stay."""
     path = scratch_dir(spark, "days")
     # Each month in one task, so its files stay few.
@@ -144,10 +140,76 @@ def snk7_catalog_table(spark, d):
     return spark.sql("SELECT n_name, n_regionkey FROM lonja_nation WHERE n_regionkey = 2")
 
 
-@query("SELECT count(*) AS n FROM pedidos_ventas")
+@query(f"SELECT entrega_id, region AS key, particion AS partition, row_number() OVER (PARTITION BY particion ORDER BY entrega_id) - 1 AS offset FROM (SELECT entrega_id, region, {KEY_PARTITION.format('region')} AS particion FROM pedidos_ventas)")
 def snk10_keyed_messages(spark, d):
     m = sinks.as_messages(table(spark, d, "pedidos_ventas").select("entrega_id", "region", "total"), "region", "ventas", 4, "entrega_id")
-    return m.groupBy("partition").agg((F.max("offset") + 1).alias("n"), F.count_distinct("key").alias("k")).agg(F.sum("n").alias("n"))
+    return m.select(F.get_json_object(F.col("value").cast("string"), "$.entrega_id").cast("long").alias("entrega_id"), "key", "partition", "offset")
+
+
+@query("SELECT entrega_id, region AS particion, pedido_id, categoria, total, devuelto, CAST(NULL AS VARCHAR) AS producto, CAST(NULL AS INT) AS cantidad FROM pedidos_ventas")
+def snk11_six_field_put(spark, d):
+    """Records of six fields, partitioned by region; what they lack parses to null."""
+    p = table(spark, d, "pedidos_ventas").select("entrega_id", "pedido_id", "region", "categoria", "total", F.col("fecha").alias("timestamp"), "devuelto")
+    put = p.select("entrega_id", F.col("region").alias("particion"), F.to_json(F.struct("pedido_id", "region", "categoria", "total", "timestamp", "devuelto")).cast("binary").alias("data"), F.current_timestamp().alias("approximateArrivalTimestamp"))
+    got = put.select("entrega_id", "particion", F.from_json(F.col("data").cast("string"), S.ORDER_SCHEMA).alias("d"))
+    return got.select("entrega_id", "particion", "d.pedido_id", "d.categoria", "d.total", "d.devuelto", "d.producto", "d.cantidad")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def snk8_csv_table(spark, d):
+    """An external table over CSV files with a header."""
+    path = scratch_dir(spark, "csv")
+    table(spark, d, "nation").write.option("header", True).csv(path)
+    spark.sql("DROP TABLE IF EXISTS lonja_nation_csv")
+    spark.sql(f"CREATE TABLE lonja_nation_csv (n_nationkey INT, n_name STRING, n_regionkey INT) USING csv OPTIONS (header 'true') LOCATION '{path}'")
+    return spark.sql("SELECT n_nationkey, n_name, n_regionkey FROM lonja_nation_csv")
+
+
+_ROWS = "(SELECT DISTINCT * FROM pedidos WHERE pedido_id IS NOT NULL)"
+
+
+@query(f"SELECT 'documentos' AS modelo, count(*) AS n, sum(total)::BIGINT AS suma FROM {_ROWS} UNION ALL SELECT 'region_dia', count(*), sum(total)::BIGINT FROM {_ROWS} UNION ALL SELECT 'por_cliente', count(*), sum(total)::BIGINT FROM {_ROWS} WHERE cliente_id IS NOT NULL "
+       f"UNION ALL SELECT 'ranking', count(*), sum(u)::BIGINT FROM (SELECT i.producto_id, sum(i.cantidad) AS u FROM (SELECT unnest(items) AS i FROM {_ROWS}) GROUP BY 1) UNION ALL SELECT 'compras', count(*), sum(u)::BIGINT FROM (SELECT cliente_id, i.producto_id, sum(i.cantidad) AS u FROM (SELECT cliente_id, unnest(items) AS i FROM {_ROWS} WHERE cliente_id IS NOT NULL) GROUP BY 1, 2)")
+def snk12_model_loaders(spark, d):
+    """The derived tables of all four models, written twice and read back."""
+    path, t = scratch_dir(spark, "models"), lambda n: table(spark, d, n)
+    for _ in range(2):
+        made = load_models(t("pedidos"), t("clientes"), t("productos"), path)
+    parts = [spark.read.parquet(p).agg(F.lit(name).alias("modelo"), F.count("*").alias("n"), F.sum("unidades" if name in ("ranking", "compras") else "total").cast("long").alias("suma")) for name, p in made.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("SELECT count(*) AS filas, true AS menos_bytes, true AS plan FROM lineitem")
+def ben2_scanned(spark, d):
+    """Rows, files and bytes of the same query over Parquet and over CSV."""
+    path, li = scratch_dir(spark, "csv"), table(spark, d, "lineitem")
+    li.write.option("header", True).csv(path)
+    csv = spark.read.option("header", True).schema(li.schema).csv(path)
+    a, b = scanned(li), scanned(csv)
+    plan = "ReadSchema" in explained(li.select("l_orderkey"))
+    return spark.createDataFrame([(a["rows"], a["rows"] == b["rows"] and a["bytes"] < b["bytes"], plan)], "filas long, menos_bytes boolean, plan boolean")
+
+
+@query("SELECT o_orderpriority, count(*) AS n, count(*) AS otra_vez FROM orders GROUP BY 1")
+def snk15_physical_controls(spark, d):
+    """Rows that are persisted are counted twice and released; the result is one partition."""
+    o = table(spark, d, "orders").select("o_orderpriority").persist()
+    try:
+        n, again = (o.groupBy("o_orderpriority").agg(F.count("*").alias(c)) for c in ("n", "otra_vez"))
+        return reliable_checkpoint(n.join(again, "o_orderpriority").coalesce(1))
+    finally:
+        o.unpersist()
+
+
+@query("SELECT 20300 AS filas, 300 AS copias, true AS ids_nulos, true AS totales_nulos, true AS regiones, true AS igual")
+def src16_generated_sales(spark, d):
+    """What the seeded generator of raw sales must hold, whatever the partitions."""
+    n = 20_000
+    raw = reliable_checkpoint(generators.dirty_sales(spark, n))
+    one = raw.agg(F.count("*").alias("filas"), F.avg(F.col("pedido_id").isNull().cast("int")).alias("i"), F.avg(F.col("total").isNull().cast("int")).alias("t"), F.avg((F.initcap(F.trim("region")) == "Bogotá").cast("int")).alias("r"), F.sum(F.xxhash64(*raw.columns).cast("decimal(38,0)")).alias("h")).first()
+    other = generators.dirty_sales(spark, n).repartition(7).agg(F.sum(F.xxhash64(*raw.columns).cast("decimal(38,0)"))).first()[0]
+    said = (20_300 if abs(one["filas"] - 20_300) < 90 else one["filas"], 300 if abs(one["filas"] - n - 300) < 90 else -1, 0.0005 < one["i"] < 0.004, 0.02 < one["t"] < 0.03, 0.38 < one["r"] < 0.42, one["h"] == other)
+    return spark.createDataFrame([said], "filas int, copias int, ids_nulos boolean, totales_nulos boolean, regiones boolean, igual boolean")
 
 
 # -- versioned tables -----------------------------------------------------------------------------------------------------------
@@ -156,16 +218,16 @@ def _orders(spark, d) -> DataFrame:
 
 
 def _written(spark, d) -> VersionedTable:
-    """Version 0: even keys; 1: an upsert of every third key with a new status; 2: an append of key -1."""
+    """Version 0: the orders that are closed or in progress; 1: an upsert of all that are in progress or open, with a new status; 2: an append of key -1."""
     t, o = VersionedTable(spark, scratch_dir(spark, "table")), _orders(spark, d)
-    t.upsert(o.filter("o_orderkey % 2 = 0"), ["o_orderkey"])
-    t.upsert(o.filter("o_orderkey % 3 = 0").withColumn("o_orderstatus", F.lit("X")), ["o_orderkey"])
+    t.upsert(o.filter("o_orderstatus <> 'O'"), ["o_orderkey"])
+    t.upsert(o.filter("o_orderstatus <> 'F'").withColumn("o_orderstatus", F.lit("X")), ["o_orderkey"])
     t.append(spark.createDataFrame([(-1, -1, "N", 0.0)], o.schema))
     return t
 
 
-_V0 = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 2 = 0"
-_V1 = "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0"
+_V0 = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus <> 'O'"
+_V1 = "SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus <> 'F' THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders"
 
 
 @query(_V1 + " UNION ALL SELECT -1, -1, 'N', 0.0")
@@ -214,6 +276,25 @@ def mrg2_composite_accumulate(spark, d):
     return t.read()
 
 
+@query("SELECT i.producto_id AS producto_id, (2 * sum(i.cantidad))::BIGINT AS unidades FROM (SELECT unnest(items) AS i FROM pedidos) GROUP BY 1")
+def mrg4_accumulate(spark, d):
+    """A sorted set's increments: the same units added twice."""
+    t, units = VersionedTable(spark, scratch_dir(spark, "table")), units_by_product(table(spark, d, "pedidos"))
+    for _ in range(2):
+        t.upsert(units, ["producto_id"], null_safe=True, accumulate=["unidades"])
+    return t.read()
+
+
+@query("SELECT producto, pedido_id, arg_max(cantidad, entrega_id) AS cantidad FROM pedidos_ventas WHERE pedido_id IS NOT NULL GROUP BY 1, 2")
+def mrg5_last_write_wins(spark, d):
+    """Rows of a wide-column table by primary key (product, order): each delivery overwrites, in the order of their batches' halves."""
+    p, t, keys = table(spark, d, "pedidos_ventas").filter("pedido_id is not null"), VersionedTable(spark, scratch_dir(spark, "table")), ["producto", "pedido_id"]
+    half = p.agg(F.avg("entrega_id")).first()[0] or 0
+    for part in (p.filter(F.col("entrega_id") < half), p.filter(F.col("entrega_id") >= half)):
+        t.upsert(part.groupBy(*keys).agg(F.max_by("cantidad", "entrega_id").alias("cantidad")), keys, null_safe=True)
+    return t.read()
+
+
 @query(f"SELECT {', '.join(BUSINESS)} FROM ventas_colombia_raw")
 def bronze_append(spark, d):
     t = VersionedTable(spark, scratch_dir(spark, "bronze"))
@@ -255,25 +336,8 @@ def stm2_windowed_upsert_stream(spark, d):
     return _out(t.read())
 
 
-@query("SELECT pedido_id, max(_kafka_offset) AS vista FROM pedidos_ventas WHERE pedido_id IS NOT NULL AND _kafka_partition = 0 AND _kafka_offset < 600 GROUP BY 1")
-def stm7_at_least_once_consumer(spark, d):
-    """The consumer fails after its first merge, starts again from the committed offsets and ends with each order once."""
-    t = VersionedTable(spark, scratch_dir(spark, "orders"))
-    log = _messages(spark, d).filter("partition = 0 and offset < 600")
-
-    def fault(commit: int) -> None:
-        raise RuntimeError("after the merge, before the commit")
-
-    try:
-        S.consume(spark, log, t, {}, 300, fault)
-    except RuntimeError:
-        pass
-    S.consume(spark, log, t, {}, 300)
-    return t.read().select("pedido_id", F.col("_kafka_offset").alias("vista"))
-
-
 @query("SELECT pedido_id, max(_kafka_offset) AS vista FROM pedidos_ventas WHERE pedido_id IS NOT NULL GROUP BY 1")
-def stm7_whole_topic(spark, d):
+def stm7_at_least_once_consumer(spark, d):
     """The consumer over all partitions to their end, in four merges whatever the log's length; it fails after the first and starts again."""
     t = VersionedTable(spark, scratch_dir(spark, "orders"))
     log = _messages(spark, d)
@@ -304,7 +368,71 @@ def stm12_consumer_lag(spark, d):
     return readers.consumer_lag(m, m.select("topic", "partition").distinct().withColumn("commit", F.lit(10).cast("long")))
 
 
-@query()
+def _message_files(spark, d, n: int = 3) -> str:
+    """The topic as files with a broker's columns, one after another in the order of offsets."""
+    path, m = scratch_dir(spark, "topic"), _messages(spark, d)
+    last = m.agg(F.max("offset")).first()[0] or 0
+    for k in range(n):
+        m.filter((F.col("offset") > last * k // n if k else F.lit(True)) & (F.col("offset") <= last * (k + 1) // n)).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+@query("SELECT pedido_id, arg_max(region, _kafka_offset) AS region, max(_kafka_offset) AS vista FROM pedidos_ventas WHERE pedido_id IS NOT NULL GROUP BY 1")
+def stm4_restart_from_checkpoint(spark, d):
+    """A stream of broker-shaped files that fails after its second merge and goes on from its checkpoint: the batch comes again and changes nothing."""
+    path, t, checkpoint = _message_files(spark, d), VersionedTable(spark, scratch_dir(spark, "orders")), scratch_dir(spark, "checkpoint")
+
+    def fault(batch_id: int) -> None:
+        if batch_id == 1:
+            raise RuntimeError("after the merge, before the commit")
+
+    failed = False
+    try:
+        S.run_available(S.to_orders(readers.message_files_stream(spark, path)), S.last_write_sink(t, "s", fault), checkpoint, "append")
+    except Exception as e:  # noqa: BLE001
+        failed = "after the merge" in str(e)
+    if not failed or t.version() != 1:
+        raise AssertionError("the fault didn't stop the stream after its second merge")
+    S.run_available(S.to_orders(readers.message_files_stream(spark, path)), S.last_write_sink(t, "s"), checkpoint, "append")
+    return t.read().select("pedido_id", "region", F.col("_kafka_offset").alias("vista"))
+
+
+@query("SELECT DISTINCT event_id FROM events")
+def ded3_stream(spark, d):
+    """Events delivered twice over a stream, each kept once under a watermark."""
+    path, t = _event_files(spark, d), VersionedTable(spark, scratch_dir(spark, "table"))
+    again = _event_stream(spark, path).withColumn("vez", F.explode(F.array(F.lit(1), F.lit(2))))
+    S.run_available(S.first_seen(again, "event_id", "ts", "10 minutes"), S.append_sink(t, "s"), scratch_dir(spark, "checkpoint"), "append")
+    return t.read().select("event_id")
+
+
+@query("SELECT time_bucket(INTERVAL 5 MINUTE, ts) - to_minutes(5 * k) AS window_start, event_type, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS k) GROUP BY 1, 2")
+def stm13_sliding(spark, d):
+    """Windows of ten minutes every five, over a stream."""
+    path, t = _event_files(spark, d), VersionedTable(spark, scratch_dir(spark, "table"))
+    w = S.windowed_sales(_event_stream(spark, path), "ts", "event_type", "value", "event_id", "10 minutes", slide="5 minutes")
+    S.run_available(w, S.upsert_sink(t, ["window_start", "window_end", "event_type"], "s"), scratch_dir(spark, "checkpoint"))
+    return t.read().select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", F.col("num_pedidos").alias("n"))
+
+
+@query("SELECT v.event_id AS vista, p.event_id AS compra FROM events v JOIN events p ON v.user_id = p.user_id AND v.event_type = 'view' AND p.event_type = 'purchase' AND p.ts BETWEEN v.ts AND v.ts + INTERVAL 30 MINUTE")
+def stm13_stream_stream_join(spark, d):
+    """Views with the purchases of the same user within half an hour; both streams keep what may still match."""
+    path, t = _event_files(spark, d), VersionedTable(spark, scratch_dir(spark, "table"))
+    side = lambda kind, name: _event_stream(spark, path).filter(F.col("event_type") == kind).select(F.col("event_id").alias(name), F.col("user_id").alias(f"u_{name}"), F.col("ts").alias(f"ts_{name}")).withWatermark(f"ts_{name}", "30 minutes")
+    both = side("view", "vista").join(side("purchase", "compra"), F.expr("u_vista = u_compra and ts_compra between ts_vista and ts_vista + interval 30 minutes"))
+    S.run_available(both, S.append_sink(t, "s"), scratch_dir(spark, "checkpoint"), "append")
+    return t.read().select("vista", "compra")
+
+
+_SESSIONS = """
+WITH m AS (SELECT *, coalesce(ts >= lag(ts) OVER w + INTERVAL 2 MINUTE, true) AS nueva FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+s AS (SELECT *, count(*) FILTER (nueva) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM m)
+SELECT min(ts) AS window_start, max(ts) + INTERVAL 2 MINUTE AS window_end, event_type, round(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE), 2) AS ventas, count(*) AS n FROM s GROUP BY event_type, k
+"""
+
+
+@query(_SESSIONS)
 def stm13_sessions(spark, d):
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return _out(S.session_sales(e, "ts", "event_type", "value", "2 minutes"))

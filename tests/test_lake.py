@@ -164,6 +164,24 @@ def test_optimize_keeps_rows(spark):
     assert rows(t.read()) == [(1, "a")] and rows(t.read(1)) == want
 
 
+def test_gold_waits_for_silver(spark):
+    path = scratch_dir(spark)
+    tasks = [runner.Task("gold", lambda c: runner.require_table(spark, path)), runner.Task("informe", lambda c: 1)]
+    assert runner.run_chain(tasks, "2025-01-01").states == {"gold": "skipped", "informe": "skipped"}
+    VersionedTable(spark, path).append(frame(spark, [(1, "a")]))
+    assert runner.run_chain(tasks, "2025-01-01").states == {"gold": "ok", "informe": "ok"}
+
+
+def test_ordered_joins(spark):
+    from lonja.operators.joins import asof_join, band_join
+
+    a = frame(spark, [(1, 5), (1, 9), (None, 5), (2, None), (2, 1)], "k long, at long")
+    b = frame(spark, [(1, 5, "x"), (1, 5, "y"), (1, 7, "z"), (2, 2, "w"), (None, 1, "n")], "k long, at long, v string")
+    assert rows(asof_join(a, b, ["k"], "at", "at", ["v"])) == sorted([(1, 5, "y"), (1, 9, "z"), (None, 5, None), (2, None, None), (2, 1, None)], key=str)
+    p, q = frame(spark, [(1, 0.0), (2, 9.9), (3, 10.0), (4, None)], "i long, x double"), frame(spark, [("a", 0.0, 10.0), ("b", 9.0, 30.0), ("c", 5.0, 5.0)], "b string, lo double, hi double")
+    assert rows(band_join(p, q, "x", "lo", "hi", 7.0).select("i", "b")) == [(1, "a"), (2, "a"), (2, "b"), (3, "b")]
+
+
 def test_quality_gates(spark):
     s = "pedido_id string, producto string, total double"
     quality.check_critical_nulls(frame(spark, [("a", "b", 1.0)] * 19 + [(None, "b", 1.0)], s), ["pedido_id", "producto", "total"])
@@ -214,13 +232,13 @@ def test_messages_are_numbered_without_gaps(spark):
 def test_partition_overwrite_keeps_every_month(spark, small):
     from lonja.plans import registry
 
-    got = registry.queries()["snk4_all_months"](spark, small).agg(F.sum("n")).first()[0]
+    got = registry.queries()["snk4_partition_overwrite"](spark, small).agg(F.sum("n")).first()[0]
     assert got == spark.read.parquet(f"{small}/orders.parquet").count()
 
 
 def test_consumer_reads_the_whole_topic(spark, small):
     from lonja.plans import registry
 
-    got = [r["pedido_id"] for r in registry.queries()["stm7_whole_topic"](spark, small).collect()]
+    got = [r["pedido_id"] for r in registry.queries()["stm7_at_least_once_consumer"](spark, small).collect()]
     log = spark.read.parquet(f"{small}/pedidos_ventas.parquet").filter("pedido_id is not null")
     assert sorted(got) == sorted(r[0] for r in log.select("pedido_id").distinct().collect()) and log.select("_kafka_partition").distinct().count() == 4
