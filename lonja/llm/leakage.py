@@ -35,7 +35,8 @@ class ItemIndex:
     """An inverted index of held-out items with BM25 impacts: for each term its blocks of items with the greatest impact in
     each, and for each of these the items and impacts. Everything lies in flat arrays, as long as the items' texts."""
 
-    def __init__(self, items: list[tuple[int, str]], min_words: int = MIN_WORDS, max_edits: int = MAX_EDITS):
+    def __init__(self, items: list[tuple[int, str, str | None]], min_words: int = MIN_WORDS, max_edits: int = MAX_EDITS):
+        """``items``: id, text and question (or None)."""
         self.min_words, self.max_edits = min_words, max_edits
         # The shortest exact run that a stretch with that many edits must hold.
         self.seed = max(1, (min_words - max_edits) // (max_edits + 1) + ((min_words - max_edits) % (max_edits + 1) > 0))
@@ -44,9 +45,10 @@ class ItemIndex:
         self.width = -(-(min_words + max_edits + self.step - 1) // self.step)
         self.vocabulary: dict[bytes, int] = {}
         code = self.vocabulary
-        texts = [(i, np.array([code.setdefault(x, len(code)) for x in w], np.int32)) for i, t in items if len(w := words(t)) >= min_words]
+        coded = lambda w: np.array([code.setdefault(x, len(code)) for x in w], np.int32)
+        texts = [(i, coded(w), coded(words(q))) for i, t, q in items if len(w := words(t)) >= min_words]
         n = len(texts)
-        pairs = [w[:-1].astype(np.int64) * max(1, len(code)) + w[1:] for _, w in texts]
+        pairs = [w[:-1].astype(np.int64) * max(1, len(code)) + w[1:] for _, w, _ in texts]
         self.terms = np.unique(np.concatenate(pairs)) if n else np.zeros(0, np.int64)
         terms = [np.searchsorted(self.terms, t) for t in pairs]
         df = np.zeros(len(self.terms))
@@ -62,7 +64,7 @@ class ItemIndex:
             theta[k] = self._least_score(t, score[place])
         # Items of one language and like thresholds share a block: then few blocks must be opened.
         order = sorted(range(n), key=lambda k: (int(np.bincount(texts[k][1]).argmax()), theta[k], texts[k][0]))
-        self.ids = [texts[k][0] for k in order]
+        self.ids, self.questions = [texts[k][0] for k in order], [texts[k][2] for k in order]
         self.words = np.concatenate([texts[k][1] for k in order]) if n else np.zeros(0, np.int32)
         self.begin = np.concatenate([[0], np.cumsum([len(texts[k][1]) for k in order])]).astype(np.int64)
         # Runs of each item by hash; the last seed - 1 places hold none.
@@ -181,6 +183,14 @@ class ItemIndex:
                 mine = order[edge[k] : edge[k + 1]]
                 yield k + first, entry[mine], steps[mine], windows[w]
 
+    def asks(self, doc: np.ndarray, item: int) -> float | None:
+        """The share of the pairs of adjacent words of the item's question that the document holds; None without a question."""
+        q, v = self.questions[item].astype(np.int64), max(1, len(self.vocabulary))
+        if len(q) < 2:
+            return None
+        d = doc.astype(np.int64)
+        return float(np.isin(q[:-1] * v + q[1:], np.where((d[:-1] >= 0) & (d[1:] >= 0), d[:-1] * v + d[1:], -1)).mean())
+
     def coded(self, text: str | None) -> np.ndarray:
         """The words of a text as numbers of the index; words that no item has are -1."""
         w, get = words(text), self.vocabulary.get
@@ -246,22 +256,23 @@ class ItemIndex:
         return best
 
 
-def _passes(items: DataFrame, item_id: str, item_text: str, most: int) -> Iterator[list[tuple[int, str]]]:
+def _passes(items: DataFrame, item_id: str, item_text: str, question: str | None, most: int) -> Iterator[list[tuple]]:
     """The items in order of their ids, at most ``most`` words (or one item) at a time on the driver."""
-    part: list[tuple[int, str]] = []
+    part: list[tuple] = []
     room = most
-    for r in items.select(item_id, item_text).filter(F.col(item_text).isNotNull()).orderBy(item_id).toLocalIterator():
+    for r in items.select(item_id, item_text, (F.col(question) if question else F.lit(None)).cast("string")).filter(F.col(item_text).isNotNull()).orderBy(item_id).toLocalIterator():
         need = r[1].count(" ") + 1
         if need > room and part:
             yield part
             part, room = [], most
-        part.append((r[0], r[1]))
+        part.append((r[0], r[1], r[2]))
         room -= need
     yield part
 
 
-def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, min_words: int = MIN_WORDS, max_edits: int = MAX_EDITS, max_index_words: int = MAX_INDEX_WORDS) -> DataFrame:
-    """One row for each document and each item it leaks: ``doc_id``, ``item_id`` and ``palabras``, the longest stretch.
+def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, min_words: int = MIN_WORDS, max_edits: int = MAX_EDITS, max_index_words: int = MAX_INDEX_WORDS, question: str | None = None) -> DataFrame:
+    """One row for each document and each item it leaks: ``doc_id``, ``item_id``, ``palabras``, the longest stretch, and
+    ``pregunta``, the share of the item's question (its pairs of adjacent words) that the document holds, null without one.
 
     A leak is a stretch of at least ``min_words`` consecutive words of the item of which at most ``max_edits`` are
     altered, left out or parted by an added word. Case, accents, punctuation and spacing don't count. Null or empty texts
@@ -271,7 +282,7 @@ def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
     """
     spark = docs.sparkSession
     corpus = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("text is not null and text <> ''")
-    passes = _passes(items, item_id, item_text, max_index_words)
+    passes = _passes(items, item_id, item_text, question, max_index_words)
     part, out = next(passes), None
     while part is not None:
         after_it = next(passes, None)
@@ -288,12 +299,12 @@ def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
                         span = spans.setdefault((d, item), [a, b])
                         span[0], span[1] = min(a, span[0]), max(b, span[1])
                     found = {(d, i): n for (d, i), (a, b) in spans.items() if (n := index.longest(docs_[d], a, b, i)) >= index.min_words}
-                    yield pd.DataFrame({"doc_id": [int(ids[d]) for d, _ in found], "item_id": [int(index.ids[i]) for _, i in found], "palabras": list(found.values())}).astype("int64")
+                    yield pd.DataFrame({"doc_id": [int(ids[d]) for d, _ in found], "item_id": [int(index.ids[i]) for _, i in found], "palabras": list(found.values())}).astype("int64").assign(pregunta=np.array([index.asks(docs_[d], i) for d, i in found], float))
 
-        got = corpus.mapInPandas(run, "doc_id long, item_id long, palabras long")
+        got = corpus.mapInPandas(run, "doc_id long, item_id long, palabras long, pregunta double")
         if after_it is not None:
             got = reliable_checkpoint(got)
             shared.unpersist()
         out = got if out is None else out.unionAll(got)
         part = after_it
-    return out.select(F.col("doc_id").alias(doc_id), F.col("item_id").alias(item_id), "palabras")
+    return out.select(F.col("doc_id").alias(doc_id), F.col("item_id").alias(item_id), "palabras", F.when(~F.isnan("pregunta"), F.col("pregunta")).alias("pregunta"))

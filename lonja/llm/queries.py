@@ -54,7 +54,7 @@ def p3_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "evaluacion_items"), "item_id", "text")
+    return leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "evaluacion_items"), "item_id", "text", question="pregunta")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +62,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which items leaked, into how many documents, and the longest stretch."""
-    return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documentos"), F.max("palabras").alias("palabras"))
+    """Which items leaked, into how many documents, into how many with their question, and the longest stretch."""
+    return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documentos"), F.count_if(F.col("pregunta") >= 0.8).alias("con_pregunta"), F.max("palabras").alias("palabras"))
 
 
 LEAF = ["dominio", "idioma", "source"]

@@ -183,6 +183,10 @@ def test_leaks_against_brute_force(spark):
         got = {(r["doc_id"], r["item_id"]) for r in leaked_items(df, "doc_id", "text", it, "item_id", "text", max_index_words=room).collect()}
         assert got == want and len(want) > 20
     assert leaked_items(df, "doc_id", "text", it.limit(0), "item_id", "text").count() == 0
+    asked = it.withColumn("q", F.when(F.col("item_id") == 3, F.lit("Qué pieza, dime, está al lado")))
+    three = spark.createDataFrame([(1, items[3][1] + ". ¿Que pieza DIME esta al lado?"), (2, items[3][1] + " dime"), (3, items[4][1])], "doc_id long, text string")
+    shares = {(r["doc_id"], r["item_id"]): r["pregunta"] for r in leaked_items(three, "doc_id", "text", asked, "item_id", "text", question="q").collect()}
+    assert shares[1, 3] == 1.0 and shares[2, 3] == 0.0 and shares[3, 4] is None
     empty = ItemIndex([])
     assert empty.candidates([empty.coded("a b c")]) == []
 
@@ -195,14 +199,14 @@ def test_index_grows_with_the_items_only(monkeypatch):
     rng = random.Random(3)
     vocab = [f"w{k}" for k in range(3000)]
     texts = [(k, " ".join(rng.choice(vocab) for _ in range(60))) for k in range(1600)]
-    sizes = [len(pickle.dumps(ItemIndex(texts[: 200 * m]))) for m in (1, 2, 4, 8)]
+    sizes = [len(pickle.dumps(ItemIndex([(*t, None) for t in texts[: 200 * m]]))) for m in (1, 2, 4, 8)]
     assert all(b < 2.3 * a for a, b in zip(sizes, sizes[1:]))
     # Groups of one block and of many retrieve the same.
-    one = ItemIndex(texts)
+    one = ItemIndex([(*t, None) for t in texts])
     docs = [" ".join(rng.choice(vocab) for _ in range(40)) + " " + " ".join(t.split()[5:40]) for _, t in texts[::50]]
     want = sorted((d, p, one.ids[i]) for d, p, i in one.candidates([one.coded(t) for t in docs]))
     monkeypatch.setattr(leakage, "GROUPS", 7)
-    many = ItemIndex(texts)
+    many = ItemIndex([(*t, None) for t in texts])
     assert many.per_group == 15 and len(want) >= len(docs)
     assert sorted((d, p, many.ids[i]) for d, p, i in many.candidates([many.coded(t) for t in docs])) == want
 
