@@ -1,4 +1,4 @@
-"""Offset intervals of the IANA zones on the local clock, exploded by year or decade, for times of any year."""
+"""Offset intervals of the IANA zones on the local clock, exploded by spans of years, for times of any year."""
 
 from __future__ import annotations
 
@@ -20,12 +20,12 @@ _EVER = 1 << 61
 _DAY_US = 86_400_000_000
 #: No zone changed its clock before the first year. After the last one the rules of a zone repeat; the 28 years up to it hold every kind of year.
 FIRST_YEAR, LAST_YEAR = 1840, 2130
-#: Outside these years intervals are kept by decade.
-BY_YEAR = (1970, 2039)
+#: Years of one key: five in these years, else ten.
+FIVE_YEARS = (1970, 2039)
 
 
 def _offset_s(zone: zoneinfo.ZoneInfo, utc_s: int) -> int:
-    off = (_EPOCH + timedelta(seconds=utc_s)).astimezone(zone).utcoffset()
+    off = datetime.fromtimestamp(utc_s, zone).utcoffset()
     return off.days * 86400 + off.seconds
 
 
@@ -63,14 +63,16 @@ def _intervals(name: str, raw: bytes) -> list[tuple[int, int, int]]:
     changes, ruled = _listed(raw)
     changes = [c for c in changes if first < c < end]
     if ruled:
-        # A rule changes the clock at most once in three weeks; the second of the change is searched for.
+        # A rule changes the clock at most once in three weeks, on a whole minute, which is searched for.
         at = max([first, *changes])
+        off = _offset_s(zone, at)
         while at < end:
-            nxt, off = at + 21 * 86400, _offset_s(zone, at)
-            if _offset_s(zone, nxt) != off:
-                nxt = bisect.bisect_left(range(at, nxt), True, key=lambda s: _offset_s(zone, s) != off) + at
-                changes.append(nxt)
-            at = nxt
+            nxt = at + 21 * 86400
+            new = _offset_s(zone, nxt)
+            if new != off:
+                minutes = range(at // 60, nxt // 60 + 1)
+                changes.append(minutes[bisect.bisect_left(minutes, True, key=lambda m: _offset_s(zone, m * 60) == new)] * 60)
+            at, off = nxt, new
     out, start, off = [], -_EVER // 1_000_000, _offset_s(zone, first)
     for c in sorted(set(changes)):
         new = _offset_s(zone, c)
@@ -81,13 +83,13 @@ def _intervals(name: str, raw: bytes) -> list[tuple[int, int, int]]:
 
 
 def _key_of(year: int) -> int:
-    return year if BY_YEAR[0] <= year <= BY_YEAR[1] else year // 10 * 10
+    return year // 5 * 5 if FIVE_YEARS[0] <= year <= FIVE_YEARS[1] else year // 10 * 10
 
 
 @lru_cache(maxsize=4)
 def _rows(zones: tuple[str, ...]) -> pa.Table:
     known = zoneinfo.available_timezones()
-    names, keys, intervals = [], [], []
+    names, keys, ends, columns = [], [], [0], ([], [], [])
     same: dict[bytes, dict[int, list]] = {}
     year_of = lambda s: (_EPOCH + timedelta(seconds=s)).year
     for name in zones:
@@ -100,20 +102,23 @@ def _rows(zones: tuple[str, ...]) -> pa.Table:
                 la, lb = a + off, b + off
                 y0 = FIRST_YEAR if la < _start(FIRST_YEAR) else year_of(la)
                 for k in sorted({_key_of(y) for y in range(y0, min(LAST_YEAR, year_of(lb - 1)) + 1)}):
-                    by_key.setdefault(k, []).append({"from_us": la * 1_000_000, "to_us": lb * 1_000_000, "offset_us": off * 1_000_000})
+                    by_key.setdefault(k, []).append((la * 1_000_000, lb * 1_000_000, off * 1_000_000))
             same[raw] = by_key
-        names += [name] * len(same[raw])
-        keys += same[raw]
-        intervals += same[raw].values()
-    one = pa.struct([("from_us", pa.int64()), ("to_us", pa.int64()), ("offset_us", pa.int64())])
-    return pa.table({"tz_zone": pa.array(names, pa.string()), "tz_key": pa.array(keys, pa.int32()), "tz_intervals": pa.array(intervals, pa.list_(one))})
+        for k, found in same[raw].items():
+            names.append(name)
+            keys.append(k)
+            ends.append(ends[-1] + len(found))
+            for column, values in zip(columns, zip(*found)):
+                column += values
+    one = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], ["from_us", "to_us", "offset_us"])
+    return pa.table({"tz_zone": pa.array(names, pa.string()), "tz_key": pa.array(keys, pa.int32()), "tz_intervals": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), one)})
 
 
 def zone_offset_intervals(spark: SparkSession, zones: list[str] | None = None) -> DataFrame:
     """One row for each zone and ``tz_key`` (see :func:`interval_key`) with the offset intervals that touch it on the local clock.
 
     ``zones`` None takes every zone of the IANA database: its size is a property of that database (about 600 zones times
-    90 keys), not of the data or its years, so the table may be broadcast.
+    40 keys), not of the data or its years, so the table may be broadcast.
     """
     names = tuple(sorted(zones if zones is not None else zoneinfo.available_timezones()))
     return spark.createDataFrame(_rows(names))
@@ -135,4 +140,5 @@ def interval_key(local_us: Column) -> tuple[Column, Column]:
     new_year = lambda y: F.unix_date(F.make_date(y, F.lit(1), F.lit(1))).cast("long")
     moved = F.when(year > LAST_YEAR, local_us - (new_year(year) - new_year(alike)) * F.lit(_DAY_US)).otherwise(local_us)
     y = F.greatest(alike, F.lit(FIRST_YEAR))
-    return F.when(y.between(*BY_YEAR), y).otherwise(F.floor(y / 10) * 10).cast("int"), moved
+    width = F.when(y.between(*FIVE_YEARS), 5).otherwise(10)
+    return (y - y % width).cast("int"), moved
