@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lonja.operators.late_events import late_corrected_sums
-from lonja.operators.profiling import CHANCE, PATTERNS, SHIFT, departing_loads, profile_loads, shifted_loads
+from lonja.operators.profiling import CHANCE, DEPARTURE, HEAVY_SHARE, PATTERNS, RARE_SHARE, RARE_STEP, SHIFT, departing_loads, profile_loads, shifted_loads
 from lonja.operators.redelivery import kept_deliveries, message_key, repeated_deliveries
 from lonja.operators.timestamps import normalise_timestamps
 from lonja.session import table
@@ -95,7 +95,21 @@ f AS (SELECT g.carga_id, g.columna, sum(g.n) OVER w AS k, sum(g.n) OVER (PARTITI
 d AS (SELECT carga_id, columna, max(CASE WHEN ta > t THEN abs(k / t - (ka - k) / (ta - t)) ELSE 0 END) AS ks, max(t) AS valores, max(ta - t) AS otros FROM f GROUP BY 1, 2)
 """
 
+_RARE = "WITH u AS (" + " UNION ALL ".join(f"SELECT carga_id, '{c}' AS columna, CASE WHEN trim({c}) <> '' THEN {c} END AS valor FROM ventas_colombia_raw WHERE carga_id IS NOT NULL" for c in PROFILED) + fr"""),
+c AS (SELECT columna, carga_id, valor, count(*) AS n FROM u GROUP BY ALL),
+z AS (SELECT columna, carga_id, sum(n) AS filas FROM c GROUP BY ALL),
+h AS (SELECT DISTINCT columna, valor, true AS propio FROM c JOIN z USING (columna, carga_id) WHERE valor IS NOT NULL AND n >= 3 AND n >= {HEAVY_SHARE} * filas),
+k AS (SELECT columna, carga_id, CASE WHEN valor IS NULL THEN 'nulo' WHEN propio THEN 'valor:' || valor ELSE 'forma:' || substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(valor, '\p{{Nd}}', '9', 'g'), '\p{{Lu}}+', 'A', 'g'), '\p{{Ll}}+', 'a', 'g'), '\s+', ' ', 'g'), 1, 64) END AS cat, sum(n) AS n FROM c LEFT JOIN h USING (columna, valor) GROUP BY ALL),
+t AS (SELECT columna, count(*) AS cargas FROM z GROUP BY 1),
+b AS (SELECT columna, cat, n / filas AS rareza FROM k JOIN z USING (columna, carga_id) JOIN t USING (columna) QUALIFY row_number() OVER (PARTITION BY columna, cat ORDER BY n / filas DESC) = cargas // 2 + 1),
+r AS (SELECT columna, carga_id, round(coalesce(rareza, 0) / {RARE_STEP}) * {RARE_STEP} AS rareza, sum(n) AS n FROM k LEFT JOIN b USING (columna, cat) GROUP BY ALL),
+g AS (SELECT p.columna, p.rareza, z.carga_id, z.filas, coalesce(sum(r.n), 0) AS acum FROM (SELECT DISTINCT columna, rareza FROM r WHERE rareza <= {RARE_SHARE}) p JOIN z USING (columna) LEFT JOIN r ON r.columna = p.columna AND r.carga_id = z.carga_id AND r.rareza <= p.rareza GROUP BY ALL),
+o AS (SELECT a.columna, a.rareza, a.carga_id, any_value(a.acum / a.filas) AS p, any_value(a.filas) AS filas, median(d.acum / d.filas) AS q, sum(d.acum) / sum(d.filas) AS resto FROM g a JOIN g d ON a.columna = d.columna AND a.rareza = d.rareza AND a.carga_id <> d.carga_id GROUP BY ALL)
+SELECT DISTINCT carga_id, columna FROM o WHERE p >= {DEPARTURE} AND p - q > 4 * sqrt(greatest(resto * (1 - resto), 0.01) / filas) AND (p - q >= {DEPARTURE} OR p > 2 * q)
+"""
+
 ORACLE_SQL = {
+    "p4_found": _RARE,
     "p4_profile": _CURVES + """, q AS (SELECT carga_id, columna, min(x) AS minimo, quantile_disc(x, 0.25) AS q25, quantile_disc(x, 0.5) AS mediana, quantile_disc(x, 0.75) AS q75, max(x) AS maximo FROM v WHERE x IS NOT NULL AND NOT isnan(x) GROUP BY 1, 2)
 SELECT v.carga_id, v.columna, count(*) AS filas, count(*) FILTER (blanco) AS nulos, count(DISTINCT CASE WHEN NOT blanco THEN valor END) AS distintos, count(*) FILTER (NOT blanco AND NOT regexp_matches(valor, patron)) AS violaciones,
   any_value(q.minimo) AS minimo, any_value(q25) AS q25, any_value(mediana) AS mediana, any_value(q75) AS q75, any_value(q.maximo) AS maximo,

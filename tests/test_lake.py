@@ -172,6 +172,21 @@ def test_gold_waits_for_silver(spark):
     assert runner.run_chain(tasks, "2025-01-01").states == {"gold": "ok", "informe": "ok"}
 
 
+def test_processing_time_trigger_and_ingestion_time(spark, small):
+    from lonja.operators.medallion import BUSINESS, to_bronze
+    from lonja.streaming import pipeline
+
+    path, t = scratch_dir(spark), VersionedTable(spark, scratch_dir(spark))
+    frame(spark, [(1, "a"), (2, "b")]).write.parquet(path)
+    q = pipeline.run_available(spark.readStream.schema("k long, v string").parquet(path), pipeline.append_sink(t, "s"), scratch_dir(spark), "append", processing_time="1 second")
+    q.processAllAvailable()
+    q.stop()
+    assert rows(t.read()) == [(1, "a"), (2, "b")]
+    bronze = to_bronze(spark.read.parquet(f"{small}/ventas_colombia_raw.parquet"))
+    assert bronze.columns == [*BUSINESS, "_ingested_at", "_source_file"] and bronze.filter("_ingested_at is null or not _source_file like '%ventas_colombia_raw%'").count() == 0
+    assert runner.timed(lambda: bronze.select("total"), 2)["median_s"] > 0
+
+
 def test_ordered_joins(spark):
     from lonja.operators.joins import asof_join, band_join
 
