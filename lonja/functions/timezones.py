@@ -11,7 +11,7 @@ from functools import lru_cache
 from importlib import resources
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _UTC = timezone.utc
@@ -115,7 +115,7 @@ def _rows(zones: tuple[str, ...]) -> pa.Table:
 
 
 def zone_offset_intervals(spark: SparkSession, zones: list[str] | None = None) -> DataFrame:
-    """One row for each zone and ``tz_key`` (see :func:`interval_key`) with the offset intervals that touch it on the local clock.
+    """One row for each zone and ``tz_key`` (see :func:`with_interval_key`) with the offset intervals that touch it on the local clock.
 
     ``zones`` None takes every zone of the IANA database: its size is a property of that database (about 600 zones times
     40 keys), not of the data or its years, so the table may be broadcast.
@@ -124,21 +124,22 @@ def zone_offset_intervals(spark: SparkSession, zones: list[str] | None = None) -
     return spark.createDataFrame(_rows(names))
 
 
-def interval_key(local_us: Column) -> tuple[Column, Column]:
-    """The key of a local time, and the time to look for under it.
+def with_interval_key(df: DataFrame, local: str) -> DataFrame:
+    """``df`` with ``tz_key`` of a local time in microseconds, and ``moved_us``, the time to look for under it.
 
     Times after LAST_YEAR are moved, by whole days, to the year of the last 28 that has the same days of the week; earlier
-    ones stay where they are, and those before FIRST_YEAR are under its decade.
+    ones stay where they are, and those before FIRST_YEAR are under its decade. Step by step, so that no expression is repeated in others.
     """
-    year = F.year(F.date_from_unix_date(F.floor(local_us / F.lit(_DAY_US)).cast("int")))
     kinds = {}
     for y in range(LAST_YEAR - 27, LAST_YEAR + 1):
         kinds.setdefault((datetime(y, 1, 1).isoweekday() % 7 + 1) * 2 + (y % 4 == 0), y)
-    leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
-    late = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
-    alike = F.when(year > LAST_YEAR, F.element_at(late, F.dayofweek(F.make_date(year, F.lit(1), F.lit(1))) * 2 + leap.cast("int"))).otherwise(year)
-    new_year = lambda y: F.unix_date(F.make_date(y, F.lit(1), F.lit(1))).cast("long")
-    moved = F.when(year > LAST_YEAR, local_us - (new_year(year) - new_year(alike)) * F.lit(_DAY_US)).otherwise(local_us)
-    y = F.greatest(alike, F.lit(FIRST_YEAR))
-    width = F.when(y.between(*FIVE_YEARS), 5).otherwise(10)
-    return (y - y % width).cast("int"), moved
+    # A character for each kind of year: its distance from the first of the 28.
+    late = F.lit("".join(chr(65 + kinds.get(k, LAST_YEAR) - LAST_YEAR + 27) for k in range(16)))
+    new_year = lambda y: F.make_date(y, F.lit(1), F.lit(1))
+    y, alike = F.col("tz_year"), F.col("tz_alike")
+    out = df.select("*", F.year(F.date_from_unix_date(F.floor(F.col(local) / F.lit(_DAY_US)).cast("int"))).alias("tz_year"))
+    leap = F.dayofmonth(F.last_day(F.make_date(y, F.lit(2), F.lit(1)))) - 28
+    out = out.select("*", F.when(y > LAST_YEAR, F.ascii(F.substring(late, F.dayofweek(new_year(y)) * 2 + leap + 1, F.lit(1))) - 65 + LAST_YEAR - 27).otherwise(F.greatest(y, F.lit(FIRST_YEAR))).alias("tz_alike"))
+    moved = F.col(local) - F.when(y > LAST_YEAR, F.date_diff(new_year(y), new_year(alike))).otherwise(0).cast("long") * F.lit(_DAY_US)
+    width = F.when(alike.between(*FIVE_YEARS), 5).otherwise(10)
+    return out.select(*df.columns, (alike - alike % width).cast("int").alias("tz_key"), moved.alias("moved_us"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lonja.functions.timezones import interval_key, zone_offset_intervals
+from lonja.functions.timezones import with_interval_key, zone_offset_intervals
 
 # Month names of Spanish, English and German by number.
 MONTHS = {
@@ -124,8 +124,9 @@ def normalise_timestamps(df: DataFrame, id_col: str, value_col: str, zone_col: s
         F.when(good & ((z == "") | (F.instr(z, "/") > 0)), clock).otherwise(serial_us).alias("local_us"),
         F.when(F.instr(z, "/") > 0, z).otherwise(F.col("zone")).alias("tz_zone"),
     )
-    key, moved = interval_key(F.col("local_us"))
-    src = src.select("*", F.when(F.col("abs_us").isNull(), key).alias("tz_key"), moved.alias("moved_us"))
+    # One struct for each row, opened again: what was parsed so far is computed once and not written out in what follows.
+    src = src.select(F.inline(F.array(F.struct("id", "t", "abs_us", F.when(F.col("abs_us").isNull(), F.col("local_us")).alias("local_us"), "tz_zone"))))
+    src = with_interval_key(src, "local_us")
     # A table of the zone database, whatever the data: see zone_offset_intervals.
     zones = F.broadcast(zone_offset_intervals(df.sparkSession))
     got = src.join(zones, ["tz_zone", "tz_key"], "left")
